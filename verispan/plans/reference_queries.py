@@ -21,7 +21,7 @@ def project_references(spark: SparkSession, base: str) -> list[Reference]:
     ]
 
 
-_BLANKS = r"E' \t\n\r\x0b\x0c   ​﻿'"
+_BLANKS = "E' \\t\\n\\r\\x0b\\x0c\u00a0\u2007\u202f\u200b\ufeff'"
 _ID = "nullif(lower(trim({0}, " + _BLANKS + ")), '')"
 
 _LINKS = f"""
