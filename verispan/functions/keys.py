@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space that may surround an id.
-BLANKS = " \t\n\r\x0b\x0c   ​﻿"
+BLANKS = " \t\n\r\x0b\x0c\u00a0\u2007\u202f\u200b\ufeff"
 
 # Content hashes of an empty file (md5, sha1, sha256).
 EMPTY_FILE_HASHES = (
