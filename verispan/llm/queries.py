@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.llm import leakage, lookalike
+from verispan.functions.keys import norm_hash, norm_id, norm_number_key
+from verispan.llm import components, leakage, lookalike
 from verispan.plans.registry import Registry
 from verispan.session import table
 
@@ -33,3 +34,29 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 def p8_forms(spark: SparkSession, base: str) -> DataFrame:
     f = lookalike.canonical_forms(table(spark, base, "documents"))
     return f.select(F.col("_id").alias("doc_id"), F.hex("_canon").alias("canonical_key"), F.col("_changed").alias("changed"), F.col("_length").alias("canonical_length"))
+
+
+def _manifest_keys():
+    return norm_id("image.image_id"), [("hash", norm_hash("image.file_hash")), ("coco", norm_number_key("image.coco_id"))]
+
+
+@LLM.add("p2_found")
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    g = components.related_groups(table(spark, base, "m7_image_manifest"), *_manifest_keys())
+    g = g.where(~F.col("node").startswith(components.NO_ID) & (F.col("node") != F.col("component")))
+    return g.select(F.col("component").alias("image_id_a"), F.col("node").alias("image_id_b"))
+
+
+def _image_splits(spark: SparkSession, base: str) -> tuple[DataFrame, list]:
+    shares = components.split_shares(table(spark, base, "split_targets"))
+    return components.assign_splits(table(spark, base, "m7_image_manifest"), *_manifest_keys(), shares), shares
+
+
+@LLM.add("p2_splits")
+def p2_splits(spark: SparkSession, base: str) -> DataFrame:
+    return _image_splits(spark, base)[0].withColumnRenamed("record_id", "image_id")
+
+
+@LLM.add("p2_report")
+def p2_report(spark: SparkSession, base: str) -> DataFrame:
+    return components.split_report(*_image_splits(spark, base))
