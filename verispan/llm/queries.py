@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.functions.keys import norm_hash, norm_id, norm_number_key
-from verispan.llm import components, leakage, lookalike
+from verispan.functions.keys import norm_hash, norm_id, norm_label, norm_number_key, norm_tag
+from verispan.llm import components, consensus, leakage, lookalike
 from verispan.plans.registry import Registry
 from verispan.session import table
 
@@ -60,3 +60,29 @@ def p2_splits(spark: SparkSession, base: str) -> DataFrame:
 @LLM.add("p2_report")
 def p2_report(spark: SparkSession, base: str) -> DataFrame:
     return components.split_report(*_image_splits(spark, base))
+
+
+STATUSES = ("supported", "hallucinated", "unknown")
+
+
+def _consensus(spark: SparkSession, base: str):
+    a, j = table(spark, base, "annotation_records"), table(spark, base, "adjudication_records")
+    labels = consensus.latest_labels(a, norm_id("claim_id"), norm_tag("annotator_id"), norm_label("ground_truth_status"), F.col("labelled_at"))
+    decided = consensus.latest_labels(j, norm_id("claim_id"), F.lit("adjudication"), norm_label("adjudicated_status"), F.col("adjudicated_at"))
+    return consensus.consensus_messages(labels, STATUSES, decided.select("item", F.col("label").alias("status")))
+
+
+@LLM.add("p5_found")
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    items = _consensus(spark, base)[0]
+    return items.where("n_labels >= 2").select(F.col("item").alias("claim_id"), F.col("consensus").alias("consensus_status"))
+
+
+@LLM.add("p5_agreement")
+def p5_agreement(spark: SparkSession, base: str) -> DataFrame:
+    return _consensus(spark, base)[0].withColumnRenamed("item", "claim_id")
+
+
+@LLM.add("p5_annotators")
+def p5_annotators(spark: SparkSession, base: str) -> DataFrame:
+    return _consensus(spark, base)[1]
