@@ -1,13 +1,14 @@
 """Consensus labels by message passing between items and annotators.
 
-Labels form a bipartite graph, one edge per (item, annotator). For each class c
-the labels become votes for c or against it. Two messages run along each edge:
+Labels form a bipartite graph, one edge per (item, annotator). Each class c is
+held against the rest. Two messages run along each edge and class:
 
 * item to annotator: the belief that the item is of class c from all *other*
   labels of the item;
 * annotator to item: the log-odds weight of the annotator's vote from all its
-  *other* labels: ln(P(vote | c) / P(vote | not c)), the rates being the other
-  items' beliefs counted by vote, smoothed by a Beta prior.
+  *other* labels: ln(P(vote | c) / P(vote | rest)), the rates being the other
+  items' beliefs counted by vote, smoothed by a prior. Keeping the vote as given
+  lets labels of an annotator who mixes two classes up still tell something.
 
 Only sums over an item's or an annotator's edges are exchanged and the own edge
 is subtracted, so an annotator with a third of all labels, or an item with very
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from verispan.session import cut
 
-#: Beta prior of an annotator's rates, in labels: agree 2 to 1 with the class it votes for.
+#: Prior of an annotator's rates, in labels: right against wrong.
 PRIOR_RIGHT, PRIOR_WRONG = 2.0, 1.0
 
 
@@ -37,34 +38,38 @@ def latest_labels(rows: DataFrame, item: Column, annotator: Column, label: Colum
 
 
 def _annotator_state(edges: DataFrame, k: int) -> DataFrame:
-    """Per annotator and class: expected votes for and against, of items of the class and of the rest."""
+    """Per annotator, class c and vote v: expected labels v on items of class c (yes) and on the rest (no)."""
     aggs = []
     for c in range(k):
-        b, v = F.col(f"b{c}"), F.col("vote") == c
-        aggs += [F.sum(F.when(v, b)).alias(f"tp{c}"), F.sum(b).alias(f"pos{c}"), F.sum(F.when(v, 1 - b)).alias(f"fp{c}"), F.sum(1 - b).alias(f"neg{c}")]
+        for v in range(k):
+            on = F.col("vote") == v
+            aggs += [F.sum(F.when(on, F.col(f"b{c}")).otherwise(0.0)).alias(f"yes{c}_{v}"), F.sum(F.when(on, 1 - F.col(f"b{c}")).otherwise(0.0)).alias(f"no{c}_{v}")]
     return edges.groupBy("annotator").agg(*aggs)
 
 
-def _weight(c: int) -> Column:
-    """Annotator-to-item message of one edge for class c, the own edge taken out."""
-    b, mine = F.col(f"b{c}"), (F.col("vote") == c).cast("double")
-    tp = F.coalesce(f"tp{c}", F.lit(0.0)) - b * mine
-    fp = F.coalesce(f"fp{c}", F.lit(0.0)) - (1 - b) * mine
-    pos, neg = F.col(f"pos{c}") - b, F.col(f"neg{c}") - (1 - b)
-    total = F.lit(PRIOR_RIGHT + PRIOR_WRONG)
-    # tiny negative sums from rounding must not reach the logarithm
-    hit = (F.greatest(tp, F.lit(0.0)) + PRIOR_RIGHT) / (F.greatest(pos, F.lit(0.0)) + total)
-    false = (F.greatest(fp, F.lit(0.0)) + PRIOR_WRONG) / (F.greatest(neg, F.lit(0.0)) + total)
-    cap = F.lit(1e-6)
-    hit, false = F.least(F.greatest(hit, cap), 1 - cap), F.least(F.greatest(false, cap), 1 - cap)
-    return F.when(F.col("vote") == c, F.log(hit / false)).otherwise(F.log((1 - hit) / (1 - false)))
+def _weight(c: int, k: int) -> Column:
+    """Annotator-to-item message of one edge for class c against the rest, the own edge taken out."""
+    out = F.lit(None).cast("double")
+    own_yes, own_no = F.col(f"b{c}"), 1 - F.col(f"b{c}")
+    wrong = PRIOR_WRONG / max(1, k - 1)
+    all_yes = reduce(lambda x, y: x + y, [F.col(f"yes{c}_{v}") for v in range(k)]) - own_yes
+    all_no = reduce(lambda x, y: x + y, [F.col(f"no{c}_{v}") for v in range(k)]) - own_no
+    for v in range(k):
+        # on the rest, a vote for c is wrong and the other votes share what is right
+        prior_yes = PRIOR_RIGHT if v == c else wrong
+        prior_no = wrong if v == c else (PRIOR_RIGHT + PRIOR_WRONG - wrong) / max(1, k - 1)
+        # sums can end a rounding error under zero once the own edge is out
+        yes = (F.greatest(F.col(f"yes{c}_{v}") - own_yes, F.lit(0.0)) + prior_yes) / (F.greatest(all_yes, F.lit(0.0)) + PRIOR_RIGHT + PRIOR_WRONG)
+        no = (F.greatest(F.col(f"no{c}_{v}") - own_no, F.lit(0.0)) + prior_no) / (F.greatest(all_no, F.lit(0.0)) + PRIOR_RIGHT + PRIOR_WRONG)
+        out = F.when(F.col("vote") == v, F.log(yes / no)).otherwise(out)
+    return out
 
 
 def _logistic(x: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.least(x, F.lit(30.0)), F.lit(-30.0))))
 
 
-def consensus_messages(labels: DataFrame, classes: Sequence[str], witness: DataFrame | None = None, witness_rate: float = 0.95, max_rounds: int = 20, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame, int]:
+def consensus_messages(labels: DataFrame, classes: Sequence[str], witness: DataFrame | None = None, witness_rate: float = 0.95, max_rounds: int = 15, tolerance: float = 1e-2) -> tuple[DataFrame, DataFrame, int]:
     """Message passing to convergence over (item, annotator, label) rows, one per item and annotator.
 
     witness (item, status): one decision per item that counts as a vote whose
@@ -98,15 +103,20 @@ def consensus_messages(labels: DataFrame, classes: Sequence[str], witness: DataF
     for c in range(k):
         others = (F.col(f"n{c}") - (F.col("vote") == c).cast("long") + 1.0) / (F.col("n") - 1 + float(k))
         first = first.withColumn(f"b{c}", _logistic(F.log(others / (1 - others)) + base[c]))
-    state = cut(first.select("item", "annotator", "vote", *(f"b{c}" for c in range(k))))
+    known = reduce(lambda x, y: x + y, [F.col(f"b{c}") for c in range(k)])
+    state = cut(first.select("item", "annotator", "vote", *((F.col(f"b{c}") / known).alias(f"b{c}") for c in range(k))))
     seen = counts.select("item", *(x.alias(f"base{c}") for c, x in enumerate(base)))
     rounds = 0
     while True:
         rounds += 1
-        edges = state.join(_annotator_state(state, k), "annotator").select("item", "annotator", "vote", *(F.col(f"b{c}").alias(f"old{c}") for c in range(k)), *(_weight(c).alias(f"w{c}") for c in range(k)))
+        edges = state.join(_annotator_state(state, k), "annotator").select("item", "annotator", "vote", *(F.col(f"b{c}").alias(f"old{c}") for c in range(k)), *(_weight(c, k).alias(f"w{c}") for c in range(k)))
         sums = edges.groupBy("item").agg(*(F.sum(f"w{c}").alias(f"s{c}") for c in range(k))).join(seen, "item")
         full = [(F.col(f"s{c}") + F.col(f"base{c}") + bias[c]) for c in range(k)]
-        new = cut(edges.join(sums, "item").select("item", "annotator", "vote", *(_logistic(full[c] - F.col(f"w{c}")).alias(f"b{c}") for c in range(k)), *(F.abs(_logistic(full[c] - F.col(f"w{c}")) - F.col(f"old{c}")).alias(f"d{c}") for c in range(k)), *(full[c].alias(f"f{c}") for c in range(k))))
+        cavity = [_logistic(full[c] - F.col(f"w{c}")) for c in range(k)]
+        known = reduce(lambda x, y: x + y, [F.col(f"r{c}") for c in range(k)])
+        new = edges.join(sums, "item").select("item", "annotator", "vote", *(F.col(f"old{c}") for c in range(k)), *(cavity[c].alias(f"r{c}") for c in range(k)), *(full[c].alias(f"f{c}") for c in range(k)))
+        # an item is of one class: the beliefs of the classes add up to one
+        new = cut(new.select("item", "annotator", "vote", *((F.col(f"r{c}") / known).alias(f"b{c}") for c in range(k)), *(F.abs(F.col(f"r{c}") / known - F.col(f"old{c}")).alias(f"d{c}") for c in range(k)), *(f"f{c}" for c in range(k))))
         moved = new.agg(F.max(F.greatest(*(f"d{c}" for c in range(k))))).first()[0] if k > 1 else 0
         state = new.select("item", "annotator", "vote", *(f"b{c}" for c in range(k)))
         if moved is None or moved <= tolerance or rounds >= max_rounds:
