@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verispan.functions.keys import norm_hash, norm_id, norm_label, norm_number_key, norm_tag
-from verispan.llm import components, consensus, leakage, lookalike
+from verispan.functions.keys import norm_hash, norm_id, norm_label, norm_number_key, norm_split, norm_tag
+from verispan.llm import components, consensus, leakage, lookalike, mixing, overlap
 from verispan.plans.registry import Registry
 from verispan.session import table
 
@@ -86,3 +86,33 @@ def p5_agreement(spark: SparkSession, base: str) -> DataFrame:
 @LLM.add("p5_annotators")
 def p5_annotators(spark: SparkSession, base: str) -> DataFrame:
     return _consensus(spark, base)[1]
+
+
+def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, base, "documents"), mixing.mix_targets(table(spark, base, "mix_targets")), shard_tokens=200_000)
+
+
+@LLM.add("p7_mix")
+def p7_mix(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base)[0]
+
+
+@LLM.add("p7_shares")
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base)[1]
+
+
+def _claim_overlaps(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    claims = table(spark, base, "m7_claims")
+    return overlap.cross_split_links(claims, norm_id("image_id"), norm_split("split"), norm_hash("image_hash"), F.col("caption")), claims
+
+
+@LLM.add("p4_found")
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    return overlap.overlap_pairs(_claim_overlaps(spark, base)[0])
+
+
+@LLM.add("p4_report")
+def p4_report(spark: SparkSession, base: str) -> DataFrame:
+    links, claims = _claim_overlaps(spark, base)
+    return overlap.overlap_report(links, claims, norm_id("image_id"), norm_split("split"), norm_id("metadata.dataset_source"))
