@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verispan.functions.keys import norm_hash, norm_id, norm_label, norm_number_key, norm_split, norm_tag
-from verispan.llm import components, consensus, leakage, lookalike, mixing, overlap
+from verispan.llm import components, consensus, leakage, lookalike, mixing, overlap, pairs
 from verispan.plans.registry import Registry
 from verispan.session import table
 
@@ -116,3 +116,20 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 def p4_report(spark: SparkSession, base: str) -> DataFrame:
     links, claims = _claim_overlaps(spark, base)
     return overlap.overlap_report(links, claims, norm_id("image_id"), norm_split("split"), norm_id("metadata.dataset_source"))
+
+
+def _broken(spark: SparkSession, base: str) -> DataFrame:
+    r = table(spark, base, "vlm_responses")
+    return pairs.broken_pairs(r, F.col("response_id"), F.col("prompt"), F.col("caption"), F.col("gen_config.max_new_tokens"))
+
+
+@LLM.add("p1_found")
+def p1_found(spark: SparkSession, base: str) -> DataFrame:
+    return _broken(spark, base)
+
+
+@LLM.add("p1_report")
+def p1_report(spark: SparkSession, base: str) -> DataFrame:
+    r = table(spark, base, "vlm_responses").select("response_id", F.coalesce("model_name", F.lit("none")).alias("model_name")).where("response_id is not null").groupBy("response_id").agg(F.min("model_name").alias("model_name"))
+    d = r.join(_broken(spark, base), "response_id", "left")
+    return d.groupBy("model_name", F.coalesce("defect_type", F.lit("sound")).alias("defect_type")).agg(F.count(F.lit(1)).alias("n_responses"))
