@@ -2,11 +2,10 @@
 
 Three ways to overlap: by id, by content hash, by text. Texts are compared once
 per distinct text. Each gives its set of words and the hashes of its runs of
-``n`` words. The evaluation side is the smaller one: of each evaluation text the
-runs that are rare in the corpus are kept - all but the ``containment`` share
-that is most common, so a training text that contains at least that share of
-the runs is hit through one of the kept. Both sides are then partitioned by run
-hash and joined; a hit is verified on the sets of words.
+``n`` words. Of each evaluation text the runs that are rare in the corpus are
+kept: of N runs of which a partner contains at least c, the N - c + k rarest, so
+a partner is hit k times or more. Evaluation and training runs are partitioned by
+hash and joined; pairs hit k times are verified on the sets of words.
 """
 
 from __future__ import annotations
@@ -61,8 +60,8 @@ def common_runs(texts: DataFrame, least: int = 8) -> DataFrame:
     """(run, seen): runs that one task met at least ``least`` times, with how often; runs rare everywhere are absent.
 
     Each task counts its own texts and sends only what repeats there, so the
-    table follows the variety of common phrases and not the corpus. It serves as
-    an order of runs - any fixed order keeps the search complete - and is joined.
+    table follows the variety of common phrases and not the corpus. It only serves
+    as an order of runs, and any fixed order keeps the search complete.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,29 +90,74 @@ def common_runs(texts: DataFrame, least: int = 8) -> DataFrame:
     return texts.select("runs").mapInArrow(run, "run long, seen long").groupBy("run").agg(F.sum("seen").alias("seen"))
 
 
+#: Common runs shipped to the tasks at most (16 bytes each). Beyond it only the most common ones are.
+MOST_COMMON = 1 << 20
+
+
+def _common_table(texts: DataFrame, most: int = MOST_COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The most common runs, sorted, and how often they were seen: never more than ``most``."""
+    common = cut(common_runs(texts))
+    power = F.floor(F.log2("seen")).cast("int")
+    sizes = sorted(((r.p, r.n) for r in common.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # at most 64 rows
+    total, floor = 0, 64
+    for p, n in sizes:
+        if total + n > most:
+            break
+        total, floor = total + n, p
+    rows = common.where(power >= floor).collect()
+    keys, seen = np.array([r.run for r in rows], np.int64), np.array([r.seen for r in rows], np.int64)
+    order = np.argsort(keys)
+    return keys[order], seen[order]
+
+
+_KEPT = pa.schema([("e", pa.int64()), ("need", pa.int32()), ("run", pa.int64())])
+
+
+def _rare_runs(keys: np.ndarray, seen: np.ndarray, containment: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text's N runs the N - c + k rarest, c the runs that a partner shares at least and k = ceil(c / 5): a partner shares k of the kept ones."""
+    for b in batches:
+        ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+            often = np.where(keys[at] == flat, seen[at], 0)
+        else:
+            often = np.zeros(len(flat), np.int64)
+        out_e, out_k, out_r = [], [], []
+        for e, lo, hi in zip(ids, off, off[1:]):
+            n = int(hi - lo)
+            if not n:
+                continue
+            c = max(1, int(np.ceil(containment * n)))
+            k = -(-c // 5)
+            kept = flat[lo:hi][np.argsort(often[lo:hi], kind="stable")[: n - c + k]]
+            out_e.append(np.full(len(kept), e))
+            out_k.append(np.full(len(kept), k, np.int32))
+            out_r.append(kept)
+        if out_e:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_e, out_k, out_r)], schema=_KEPT)
+
+
 def text_pairs(texts: DataFrame, similarity: float = 0.75, containment: float = 0.4) -> DataFrame:
-    """Pairs (e_tk, e_tk2, t_tk, t_tk2) of an evaluation and a training text with word sets of Jaccard similarity >= similarity.
+    """Pairs (e, t) of the ids of an evaluation and a training text with word sets of Jaccard similarity >= similarity.
 
     Found: equal word sets, whatever their order, and texts of which the
     training one contains at least the ``containment`` share of the evaluation
-    text's runs. texts must be a written table (it is read several times).
+    text's runs. texts (id, in_train, in_eval, set_key, words, runs) must be a
+    written table: it is read several times.
     """
-    ev = texts.where("in_eval").select("tk", "tk2", F.explode("runs").alias("run"))
-    common = common_runs(texts)
-    ranked = ev.join(common, "run", "left").groupBy("tk", "tk2").agg(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "run")).alias("r"))  # the runs of ONE text
-    # of N runs the N - ceil(containment * N) + 1 rarest: a text holding the share holds one of them
-    kept = F.slice(F.array_sort("r"), F.lit(1), (F.size("r") - F.ceil(F.size("r") * F.lit(containment)) + 1).cast("int"))
-    ev_runs = ranked.select(F.col("tk").alias("e_tk"), F.col("tk2").alias("e_tk2"), F.explode(kept).alias("_r")).select("e_tk", "e_tk2", F.col("_r.run").alias("run"))
-    tr_runs = texts.where("in_train").select(F.col("tk").alias("t_tk"), F.col("tk2").alias("t_tk2"), F.explode("runs").alias("run"))
-    hits = ev_runs.join(tr_runs, "run").select("e_tk", "e_tk2", "t_tk", "t_tk2").distinct()
-    w = texts.select("tk", "tk2", "words")
-    e = w.select(F.col("tk").alias("e_tk"), F.col("tk2").alias("e_tk2"), F.col("words").alias("e_words"))
-    t = w.select(F.col("tk").alias("t_tk"), F.col("tk2").alias("t_tk2"), F.col("words").alias("t_words"))
+    keys, seen = _common_table(texts)
+    shipped = texts.sparkSession.sparkContext.broadcast((keys, seen))
+    ev_runs = texts.where("in_eval").select("id", "runs").mapInArrow(lambda it: _rare_runs(*shipped.value, containment, it), "e long, need int, run long")
+    tr_runs = texts.where("in_train").select(F.col("id").alias("t"), F.explode("runs").alias("run"))
+    hits = ev_runs.join(tr_runs, "run").groupBy("e", "t").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need and e != t").select("e", "t")
+    e = texts.where("in_eval").select(F.col("id").alias("e"), F.col("words").alias("e_words"))
+    t = texts.where("in_train").select(F.col("id").alias("t"), F.col("words").alias("t_words"))
     both = F.size(F.array_intersect("e_words", "t_words"))
-    near = hits.join(e, ["e_tk", "e_tk2"]).join(t, ["t_tk", "t_tk2"]).where(both >= F.lit(similarity) * (F.size("e_words") + F.size("t_words") - both)).select("e_tk", "e_tk2", "t_tk", "t_tk2")
-    es = texts.where("in_eval").select(F.col("tk").alias("e_tk"), F.col("tk2").alias("e_tk2"), "set_key")
-    ts = texts.where("in_train").select(F.col("tk").alias("t_tk"), F.col("tk2").alias("t_tk2"), "set_key")
-    same = es.join(ts, "set_key").select("e_tk", "e_tk2", "t_tk", "t_tk2")
+    near = hits.join(e, "e").join(t, "t").where(both >= F.lit(similarity) * (F.size("e_words") + F.size("t_words") - both)).select("e", "t")
+    es = texts.where("in_eval").select(F.col("id").alias("e"), "set_key")
+    ts = texts.where("in_train").select(F.col("id").alias("t"), "set_key")
+    same = es.join(ts, "set_key").select("e", "t")
     return near.unionByName(same).distinct()
 
 
@@ -134,8 +178,10 @@ def cross_split_links(rows: DataFrame, record: Column, split: Column, key: Colum
     eh = ev.where("key is not null").select("key", F.col("record").alias("record_eval")).distinct()
     th = tr.where("key is not null").select("key", F.col("record").alias("record_train")).distinct()
     by_hash = eh.join(th, "key").select("record_eval", "record_train", F.lit("hash").alias("reason")).distinct()
-    texts = cut(distinct_texts(d.select("side", "text")))
+    texts = cut(distinct_texts(d.select("side", "text")).withColumn("id", F.monotonically_increasing_id()))
     pairs = text_pairs(texts, similarity)
+    ids = texts.select("id", "tk", "tk2")
+    pairs = pairs.join(ids.toDF("e", "e_tk", "e_tk2"), "e").join(ids.toDF("t", "t_tk", "t_tk2"), "t").select("e_tk", "e_tk2", "t_tk", "t_tk2")
     er = ev.where("has_text").select(F.col("tk").alias("e_tk"), F.col("tk2").alias("e_tk2"), F.col("record").alias("record_eval")).distinct()
     tt = tr.where("has_text").select(F.col("tk").alias("t_tk"), F.col("tk2").alias("t_tk2"), F.col("record").alias("record_train")).distinct()
     by_text = pairs.join(er, ["e_tk", "e_tk2"]).join(tt, ["t_tk", "t_tk2"]).select("record_eval", "record_train", F.lit("text").alias("reason")).distinct()
