@@ -17,6 +17,7 @@ import difflib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -118,26 +119,53 @@ def _words(t: str) -> list[str]:
     return _WORD.findall(t.lower())
 
 
-def language(text: str, lists: dict[str, frozenset] = FUNCTION_WORDS) -> tuple[str | None, Counter]:
-    """The language with clearly most function words (quoted text left out), or None; and the counts."""
-    words = _words(_QUOTED.sub(" ", text))
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
+
+
+def _by_word(lists: dict[str, frozenset]) -> dict[str, tuple[str, ...]]:
+    out: dict[str, tuple[str, ...]] = {}
+    for k, v in lists.items():
+        if k != "ru":
+            for w in v:
+                out[w] = (*out.get(w, ()), k)
+    return out
+
+
+_FUNCTION_OF, _REQUEST_OF = _by_word(FUNCTION_WORDS), _by_word(REQUEST_WORDS)
+
+
+def language(text: str, request: bool = False, words: list[str] | None = None) -> tuple[str | None, Counter]:
+    """The language with clearly most function words (quoted text left out), or None; and the counts.
+
+    request also counts the words typical of requests. words may give the words of a text without quotes.
+    """
+    if words is None or _QUOTED.search(text):
+        words = _words(_QUOTED.sub(" ", text))
     if not words:
         return None, Counter()
-    letters = [c for w in words for c in w if c.isalpha()]
-    if letters and sum("Ѐ" <= c <= "ӿ" for c in letters) > len(letters) / 2:
-        return "ru", Counter(ru=len(words))
-    score = Counter({k: sum(w in v for w in words) for k, v in lists.items() if k != "ru"})
-    (best, n), (_, m) = score.most_common(2)
-    return (best if n and n > m else None), score
+    if _CYRILLIC.search(text):
+        letters = [c for w in words for c in w if c.isalpha()]
+        if letters and sum("Ѐ" <= c <= "ӿ" for c in letters) > len(letters) / 2:
+            return "ru", Counter(ru=len(words))
+    of = _REQUEST_OF if request else _FUNCTION_OF
+    score: Counter = Counter()
+    for w in words:
+        for k in of.get(w, ()):
+            score[k] += 1
+    top = score.most_common(2)
+    if not top or len(top) > 1 and top[0][1] == top[1][1]:
+        return None, score
+    return top[0][0], score
 
 
 def is_empty(caption: str | None) -> bool:
     """Null, blank, or markup, punctuation or a placeholder in place of an answer."""
     if caption is None:
         return True
-    t = "".join(c for c in caption if not hidden(c))
-    bare = re.sub(r"<[^<>]*>", " ", t)
-    words = _WORD.findall(bare.lower())
+    if len(caption) > 200 and _WORD.search(caption, 100):
+        return False
+    t = caption if caption.isascii() else "".join(c for c in caption if not hidden(c))
+    words = _words(re.sub(r"<[^<>]*>", " ", t))
     if not words:
         return True
     return " ".join(words) in PLACEHOLDERS
@@ -145,8 +173,11 @@ def is_empty(caption: str | None) -> bool:
 
 def is_copied(prompt: str, caption: str) -> bool:
     """Only repeats the prompt: nothing but its words in order, a few dropped, changed or repeated, and labels."""
-    p, c = _words(prompt), _words(_LABEL.sub(" ", caption))
-    if len(p) < 2 or not c or len(c) > 4 * len(p) + 2:
+    p = _words(prompt)
+    if len(caption) > 8 * len(prompt) + 100 or len(p) < 2:
+        return False
+    c = _words(_LABEL.sub(" ", caption))
+    if not c or len(c) > 4 * len(p) + 2 or 2 * len(set(p) & set(c)) < len(set(p)):
         return False
     seen = False
     while c:
@@ -171,8 +202,20 @@ def is_copied(prompt: str, caption: str) -> bool:
     return seen and not c
 
 
-def is_refusal(caption: str) -> bool:
+# One of these words is in every way to decline.
+_DECLINING = frozenset((
+    "i we me my us our i'm we're i'd we'd can't cannot couldn't won't can't can’t won’t i’m cant unable able not don't don’t impossible possible sorry apologies unfortunately regrettably decline declined denied refused refuse rejected "
+    "withheld blocked filtered removed redacted censored request requests policy policies guidelines rules permission ability capability access lack without allow permit enable prevents forbids ai understanding another different something "
+    "content description caption answer response information help detail details reply output query prompt message "
+    "nicht möglich leid leider bedaure entschuldigung ablehnen je peux puis désolé désolée regrette malheureusement il m'est m’est n'est refuser décliner no puedo podemos posible debo niego siento lamentablemente lamento disculpe "
+    "non posso devo dispiace purtroppo não consigo desculpe infelizmente ik я не могу невозможно извините простите сожалению"
+).split())
+
+
+def is_refusal(caption: str, words: list[str] | None = None) -> bool:
     """Declines to answer, or says the picture cannot be seen or discussed; quoted text does not count."""
+    if _DECLINING.isdisjoint(words if words is not None else _words(caption)):
+        return False
     t = _QUOTED.sub(" ", caption).strip()
     head = " ".join(re.split(r"(?<=[.!?])\s+", t)[:3])
     for r in REFUSALS:
@@ -185,20 +228,26 @@ def is_refusal(caption: str) -> bool:
     return False
 
 
-def wrong_language(prompt: str, caption: str) -> bool:
-    """Clearly in another language than the prompt names, else than the prompt's own."""
+@lru_cache(maxsize=1 << 16)
+def wanted_language(prompt: str) -> str | None:
+    """The language the prompt names, else its own."""
     named = _ASKS.search(prompt.lower())
-    want = LANGUAGE_NAMES[next(g for g in named.groups() if g)] if named else language(prompt, REQUEST_WORDS)[0]
+    return LANGUAGE_NAMES[next(g for g in named.groups() if g)] if named else language(prompt, True)[0]
+
+
+def wrong_language(prompt: str, caption: str, words: list[str] | None = None) -> bool:
+    """Clearly in another language than the prompt names, else than the prompt's own."""
+    want = wanted_language(prompt) if prompt else None
     if want is None:
         return False
-    got, score = language(caption)
+    got, score = language(caption, words=words)
     if got is None or got == want:
         return False
     n = len(_words(_QUOTED.sub(" ", caption)))
     return score[got] >= max(1, min(2, n // 3)) and score[got] > 1.5 * score[want]
 
 
-def unfinished(caption: str) -> tuple[bool, bool, str, str, str]:
+def unfinished(caption: str, words: list[str] | None = None) -> tuple[bool, bool, str, str, str]:
     """(open, sure, text, word before the last, last word) of an answer that has content.
 
     open: no sentence end. sure: it shows by itself that it was cut, by a comma
@@ -213,7 +262,7 @@ def unfinished(caption: str) -> tuple[bool, bool, str, str, str]:
     whole = not cut_mark and bool(body) and body[-1] in _ENDS
     unclosed = key.count('"') % 2 == 1 or key.count("“") > key.count("”") or key.count("(") > key.count(")") or key.count("«") > key.count("»")
     sure = bool(key) and (key[-1] in ",;:(/&" or unclosed)
-    w = _words(key)
+    w = _words(key) if words is None else words
     return (not whole) or (unclosed and not whole), sure and not whole, key, w[-2] if len(w) > 1 else "", w[-1] if w else ""
 
 
@@ -229,32 +278,37 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if is_empty(c):
                 out.append((i, "empty", False, False, False, None, "", "", 0, 0, limit))
                 continue
-            kind = "copied" if is_copied(p, c) else "refusal" if is_refusal(c) else "language" if wrong_language(p, c) else None
-            o, sure, key, w1, w2 = unfinished(c)
-            out.append((i, kind, o, sure, key != c.rstrip(), key, w1, w2, len(_words(key)), len(key), limit))
+            words = _words(c)
+            kind = "copied" if is_copied(p, c) else "refusal" if is_refusal(c, words) else "language" if wrong_language(p, c, words) else None
+            o, sure, key, w1, w2 = unfinished(c, words)
+            out.append((i, kind, o, sure, key != c.rstrip(), key, w1, w2, len(words), len(key), limit))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(_ROWS), _ROWS)], schema=_ROWS)
 
 
+_TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;](?=\s|$)")
+_STOPS = frozenset(".!?;")
+
+
 def _end_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often word pairs end a sentence or stand inside one, in finished answers; summed per task, sent on in portions."""
     end: Counter = Counter()
-    mid: Counter = Counter()
+    seen: Counter = Counter()
 
     def rows():
-        keys = list(end.keys() | mid.keys())
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([end[k] for k in keys], pa.int64()), pa.array([mid[k] for k in keys], pa.int64())], names=["w1", "w2", "e", "m"])
+        keys = [k for k in seen if k[1] not in _STOPS]
+        first = ["" if k[0] in _STOPS else k[0] for k in keys]
+        e = [end[k] for k in keys]
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(e, pa.int64()), pa.array([seen[k] - n for k, n in zip(keys, e)], pa.int64())], names=["w1", "w2", "e", "m"])
 
     for b in batches:
         for t in b.column(0).to_pylist():
-            for s in re.split(r"(?<=[.!?;])\s+", t):
-                w = ["", *_words(s)]
-                if len(w) > 1:
-                    end[w[-2], w[-1]] += 1
-                    mid.update(zip(w[:-2], w[1:-1]))
-        if len(mid) > 200_000:
+            w = [".", *_TOKEN.findall(t.lower())]
+            seen.update(zip(w, w[1:]))
+            end.update((w[i - 2], w[i - 1]) for i in range(2, len(w)) if w[i] in _STOPS)
+        if len(seen) > 200_000:
             yield rows()
             end.clear()
-            mid.clear()
+            seen.clear()
     yield rows()
 
 
