@@ -192,10 +192,8 @@ def is_copied(prompt: str, caption: str) -> bool:
             break
         if slips > max(1, len(p) // 6):
             break
-        # a question turned into a statement answers it
-        if not seen and blocks[0].a > 1 and p[0] != c[0]:
-            break
-        if not seen and p[0] != c[0] and blocks[0].b == 0 and blocks[0].a == 1 and c[0] == "there":
+        # a question turned into a statement answers it: its verb has moved behind the next word
+        if not seen and c[0] == p[1] and p[0] in c[1 : len(p)]:
             break
         seen = True
         c = c[end + (slips - (end - same)) :]
@@ -363,7 +361,10 @@ def _seams(batches):
     """The last text of a part against the first of the next part that has another text; a row or two per part."""
     import pandas as pd
 
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["pid", "edge"]).to_dict("records")
+    parts = list(batches)
+    if not parts:
+        return
+    rows = pd.concat(parts, ignore_index=True).sort_values(["pid", "edge"]).to_dict("records")
     out = []
     for i, r in enumerate(rows):
         if r["edge"] == 1:
