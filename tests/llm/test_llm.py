@@ -186,6 +186,31 @@ def test_overlap_equals_brute_force(spark):
     assert overlap.cross_split_links(df.limit(0), F.col("record"), F.col("split"), F.col("key"), F.col("text")).count() == 0
 
 
+def test_overlap_finds_every_edit_and_order(spark):
+    r = random.Random(11)
+    common = [f"c{i}" for i in range(30)]
+    rare = [f"r{i}" for i in range(4000)]
+    texts = [r.sample(common, min(30, k // 2)) + r.sample(rare, k - min(30, k // 2)) for k in [*range(1, 40), 8, 8, 8, 10, 10, 90, 200] for _ in range(3)]
+    rows = []
+    for i, t in enumerate(texts):
+        rows.append((f"t{i}", "train", " ".join(t)))
+        for j in range(4):  # words changed, added or left out up to the threshold and beyond, order kept or not
+            x = list(t)
+            for _ in range(r.randint(1, max(1, len(t) // 5))):
+                how, at = r.randrange(3), r.randrange(len(x))
+                x[at : at + 1] = [x[at], r.choice(rare)] if how == 0 else [r.choice(rare)] if how == 1 or len(x) == 1 else []
+            if j % 2:
+                r.shuffle(x)
+            rows.append((f"e{i}_{j}", "test", " ".join(x)))
+    rows += [("m", "train", "a b c d e f g h"), ("m2", "test", "a b c d X f g h")]
+    df = spark.createDataFrame([(a, s, None, t) for a, s, t in rows], "record string, split string, key string, text string")
+    W = [(a, s, set(words_of(t, False))) for a, s, t in rows]
+    want = {(a, b): len(x & y) / len(y) for a, s, x in W if s == "train" for b, q, y in W if q == "test" and len(x & y) >= 0.75 * len(x | y)}
+    links = overlap.cross_split_links(df, F.col("record"), F.col("split"), F.col("key"), F.col("text")).collect()
+    assert ("m", "m2") in want and len(want) > 200
+    assert {(x.record_train, x.record_eval): pytest.approx(x.containment) for x in links} == want
+
+
 # --- broken pairs
 
 

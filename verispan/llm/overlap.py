@@ -1,11 +1,13 @@
 """Records of evaluation splits that occur again, exactly or almost, in the training split.
 
 Three ways to overlap: by id, by content hash, by text. Texts are compared once
-per distinct text. Each gives its set of words and the hashes of its runs of
-``n`` words. Of each evaluation text the runs that are rare in the corpus are
-kept: of N runs of which a partner contains at least c, the N - c + k rarest, so
-a partner is hit k times or more. Evaluation and training runs are partitioned by
-hash and joined; pairs hit k times are verified on the sets of words.
+per distinct text, by their sets of words. Word sets of n and m words and
+similarity s differ in at most d = (n + m) (1 - s) / (1 + s) words. So the words
+are dealt to groups of parts such that in one group at most one part differs,
+whatever the d words are: signatures of the groups with one part left out find
+every pair. What shares a signature is held against the sizes and a 128-bit parity
+sketch, where each word that differs changes one bit at most, and verified on
+the sets of words.
 """
 
 from __future__ import annotations
@@ -17,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verispan.llm.words import WordHash, grams, words_of
+from verispan.llm.words import WordHash, words_of
 from verispan.session import cut
 
-RUN = 5
-_TEXT = pa.schema([("tk", pa.int64()), ("tk2", pa.int64()), ("in_train", pa.bool_()), ("in_eval", pa.bool_()), ("set_key", pa.int64()), ("words", pa.list_(pa.int64())), ("runs", pa.list_(pa.int64()))])
-TEXTS = "tk long, tk2 long, in_train boolean, in_eval boolean, set_key long, words array<long>, runs array<long>"
+_TEXT = pa.schema([("tk", pa.int64()), ("tk2", pa.int64()), ("in_train", pa.bool_()), ("in_eval", pa.bool_()), ("words", pa.list_(pa.int64()))])
+TEXTS = "tk long, tk2 long, in_train boolean, in_eval boolean, words array<long>"
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -32,143 +33,125 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
 
 
-def _features(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wh = WordHash()
-        for b in batches:
-            sets, runs, keys = [], [], []
-            for t in b.column(4).to_pylist():
-                h = wh(words_of(t, fold_looks=False))
-                s = np.unique(h)
-                sets.append(s)
-                runs.append(np.unique(grams(h, n)))
-                keys.append(int(grams(s, len(s))[0]) if len(s) else 0)
-            arrays = [*b.columns[:4], pa.array(np.array(keys, np.uint64).view(np.int64)), _lists(sets), _lists(runs)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_TEXT)
-
-    return run
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    wh = WordHash()
+    for b in batches:
+        sets = [np.unique(wh(words_of(t, fold_looks=False))) for t in b.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], _lists(sets)], schema=_TEXT)
 
 
-def distinct_texts(rows: DataFrame, n: int = RUN) -> DataFrame:
-    """One row per distinct text with words (side, text): its sides, word set and runs. The text itself is moved once."""
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """One row per distinct text with words (side, text): its sides and word set. The text itself is moved once."""
     d = rows.where("text is not null").select(F.xxhash64("text").alias("tk"), F.xxhash64(F.lit(1), "text").alias("tk2"), F.col("side") == "train", F.col("side") != "train", "text").toDF("tk", "tk2", "t", "e", "text")
     g = d.groupBy("tk", "tk2").agg(F.max("t").alias("in_train"), F.max("e").alias("in_eval"), F.first("text").alias("text"))
-    return g.mapInArrow(_features(n), TEXTS).where("size(words) > 0")
+    return g.mapInArrow(_features, TEXTS).where("size(words) > 0")
 
 
-def common_runs(texts: DataFrame, least: int = 8) -> DataFrame:
-    """(run, seen): runs that one task met at least ``least`` times, with how often; runs rare everywhere are absent.
+#: Common words that are dealt to the parts by how much they tell, so that no part tells little; the rest are dealt by hash.
+MOST_DEALT = 4096
+#: Parts of a group, of which one is left out.
+PARTS = 4
+
+
+def _dealt_words(texts: DataFrame, most: int = MOST_DEALT) -> tuple[np.ndarray, np.ndarray]:
+    """The most common words, sorted, and the rank of each by what it tells. Only an order: any fixed one keeps the search complete."""
+    rows = texts.select(F.explode("words").alias("word")).groupBy("word").count().orderBy(F.desc("count")).limit(most).collect()
+    words, p = np.array([r.word for r in rows], np.int64), np.array([r["count"] for r in rows]) / max(1, texts.count())
+    rank = np.empty(len(words), np.int64)
+    rank[np.argsort(p * p + (1 - p) ** 2, kind="stable")] = np.arange(len(words))
+    order = np.argsort(words)
+    return words[order], rank[order]
+
+
+def _size_classes(largest: int, step: float = 1.1) -> np.ndarray:
+    """The first size of each class of set sizes, up to ``largest``, and the one after the last."""
+    at = [1]
+    while at[-1] <= largest:
+        at.append(max(at[-1], int(at[-1] * step)) + 1)
+    return np.array(at)
+
+
+def _scheme(last: int, similarity: float) -> tuple[int, int, np.ndarray]:
+    """(groups, parts, kept) for training sets of at most ``last`` words; kept (parts, choices) is 1 where a choice keeps the part."""
+    most = int((last + int(last / similarity + 1e-9)) * (1 - similarity) / (1 + similarity) + 1e-9)
+    if not most:  # only equal sets
+        return 1, 1, np.ones((1, 1), np.uint64)
+    return -(-(most + 1) // 2), PARTS, (1 - np.eye(PARTS)).astype(np.uint64)
+
+
+_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("sig", pa.int64())])
+SIGNED = "id long, n int, low long, high long, sig long"
 
-    Each task counts its own texts and sends only what repeats there, so the
-    table follows the variety of common phrases and not the corpus. It only serves
-    as an order of runs, and any fixed order keeps the search complete.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def merge():
-            nonlocal keys, counts, held, size
-            k, i = np.unique(np.concatenate([keys, *held]), return_inverse=True)
-            c = np.bincount(i, weights=np.concatenate([counts, np.ones(size, np.int64)]), minlength=len(k)).astype(np.int64)
-            if len(k) > 1 << 22:  # bounded memory: what has been met once so far starts over
-                k, c = k[c > 1], c[c > 1]
-            keys, counts, held, size = k, c, [], 0
-
-        for b in batches:
-            x = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            held.append(x)
-            size += len(x)
-            if size > 1 << 20:
-                merge()
-        merge()
-        hot = counts >= least
-        yield pa.RecordBatch.from_arrays([pa.array(keys[hot]), pa.array(counts[hot])], names=["run", "seen"])
-
-    return texts.select("runs").mapInArrow(run, "run long, seen long").groupBy("run").agg(F.sum("seen").alias("seen"))
-
-
-#: Common runs shipped to the tasks at most (16 bytes each). Beyond it only the most common ones are.
-MOST_COMMON = 1 << 20
-
-
-def _common_table(texts: DataFrame, most: int = MOST_COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The most common runs, sorted, and how often they were seen: never more than ``most``."""
-    common = cut(common_runs(texts))
-    power = F.floor(F.log2("seen")).cast("int")
-    sizes = sorted(((r.p, r.n) for r in common.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # at most 64 rows
-    total, floor = 0, 64
-    for p, n in sizes:
-        if total + n > most:
-            break
-        total, floor = total + n, p
-    rows = common.where(power >= floor).collect()
-    keys, seen = np.array([r.run for r in rows], np.int64), np.array([r.seen for r in rows], np.int64)
-    order = np.argsort(keys)
-    return keys[order], seen[order]
-
-
-_KEPT = pa.schema([("e", pa.int64()), ("need", pa.int32()), ("run", pa.int64())])
-
-
-def _rare_runs(keys: np.ndarray, seen: np.ndarray, containment: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text's N runs the N - c + k rarest, c the runs that a partner shares at least and k = ceil(c / 5): a partner shares k of the kept ones."""
+def _signatures(words: np.ndarray, rank: np.ndarray, similarity: float, train: bool, batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Signatures of the sets (id, words): a training set signs for its own size class, an evaluation set for all it can be similar to."""
     for b in batches:
         ids, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
         off, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-            often = np.where(keys[at] == flat, seen[at], 0)
-        else:
-            often = np.zeros(len(flat), np.int64)
-        out_e, out_k, out_r = [], [], []
-        for e, lo, hi in zip(ids, off, off[1:]):
-            n = int(hi - lo)
-            if not n:
-                continue
-            c = max(1, int(np.ceil(containment * n)))
-            k = -(-c // 5)
-            kept = flat[lo:hi][np.argsort(often[lo:hi], kind="stable")[: n - c + k]]
-            out_e.append(np.full(len(kept), e))
-            out_k.append(np.full(len(kept), k, np.int32))
-            out_r.append(kept)
-        if out_e:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_e, out_k, out_r)], schema=_KEPT)
-
-
-def text_pairs(texts: DataFrame, similarity: float = 0.75, containment: float = 0.4) -> DataFrame:
-    """Pairs (e, t) of the ids of an evaluation and a training text with word sets of Jaccard similarity >= similarity.
-
-    Found: equal word sets, whatever their order, and texts of which the
-    training one contains at least the ``containment`` share of the evaluation
-    text's runs. texts (id, in_train, in_eval, set_key, words, runs) must be a
-    written table: it is read several times.
+        if not len(ids):
+            continue
+        flat, off = flat[off[0] : off[-1]], off - off[0]
+        h, n = flat.view(np.uint64), np.diff(off)
+        dealt = np.full(len(flat), -1)
+        if len(words):
+            at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+            dealt = np.where(words[at] == flat, rank[at], -1)
+        bit, upper = np.uint64(1) << ((h >> np.uint64(7)) & np.uint64(63)), (h >> np.uint64(13)) & np.uint64(1)
+        low, high = (np.bitwise_xor.reduceat(bit * x, off[:-1]).view(np.int64) for x in (np.uint64(1) - upper, upper))
+        least, largest = (n, n) if train else (np.ceil(similarity * n - 1e-9).astype(int), (n / similarity + 1e-9).astype(int))
+        classes = _size_classes(int(largest.max()))
+        first, last = np.searchsorted(classes, least, "right") - 1, np.searchsorted(classes, largest, "right") - 1
+        for c in range(int(first.min()), int(last.max()) + 1):
+            own = np.flatnonzero((first <= c) & (c <= last))
+            groups, parts, kept = _scheme(int(classes[c + 1] - 1), similarity)
+            p, k = groups * parts, groups * kept.shape[1]
+            salt = (np.arange(k, dtype=np.uint64) + np.uint64(c << 32)) * np.uint64(0x9E3779B97F4A7C15)
+            turn = dealt % (2 * p)  # forth and back, so that the sums of the parts are near each other
+            part = np.where(dealt < 0, ((h >> np.uint64(33)) % np.uint64(p)).astype(np.int64), np.minimum(turn, 2 * p - 1 - turn))
+            step = max(1, most // k)
+            for some in (own[i : i + step] for i in range(0, len(own), step)):
+                size = n[some]
+                row = np.repeat(np.arange(len(some)), size)
+                word = np.arange(len(row)) + np.repeat(off[some] - np.r_[0, np.cumsum(size)[:-1]], size)
+                sums = np.zeros(len(some) * p, np.uint64)
+                np.add.at(sums, row * p + part[word], h[word])
+                x = (sums.reshape(-1, groups, parts) @ kept).reshape(len(some), k) ^ salt
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(32)
+                each = [np.repeat(v, k) for v in (ids[some], size.astype(np.int32), low[some], high[some])]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*each, x.ravel().view(np.int64))], schema=_SIGNED)
+
+
+def text_pairs(texts: DataFrame, similarity: float = 0.75) -> DataFrame:
+    """All pairs (e, t, containment) of the ids of an evaluation and a training text with word sets of Jaccard similarity >= similarity.
+
+    containment is the share of the evaluation text's words that the training
+    text holds. texts (id, in_train, in_eval, words) must be a written table: it is read several times.
     """
-    keys, seen = _common_table(texts)
-    shipped = texts.sparkSession.sparkContext.broadcast((keys, seen))
-    ev_runs = texts.where("in_eval").select("id", "runs").mapInArrow(lambda it: _rare_runs(*shipped.value, containment, it), "e long, need int, run long")
-    tr_runs = texts.where("in_train").select(F.col("id").alias("t"), F.explode("runs").alias("run"))
-    hits = ev_runs.join(tr_runs, "run").groupBy("e", "t").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need and e != t").select("e", "t")
+    if not 0 < similarity <= 1:
+        raise ValueError(f"similarity {similarity} is not in (0, 1]")
+    words, rank = _dealt_words(texts)
+    shipped = texts.sparkSession.sparkContext.broadcast((words, rank))
+    sign = lambda side: texts.where(f"in_{side}").select("id", "words").mapInArrow(lambda it: _signatures(*shipped.value, similarity, side == "train", it), SIGNED)
+    ev, tr = sign("eval").toDF("e", "n", "e_low", "e_high", "sig"), sign("train").toDF("t", "m", "t_low", "t_high", "sig")
+    differ = sum((F.bit_count(F.col(f"e_{x}").bitwiseXOR(F.col(f"t_{x}"))) for x in ("low", "high")), F.lit(0))
+    may = (differ <= (F.col("n") + F.col("m")) * F.lit((1 - similarity) / (1 + similarity)) + 1e-9) & (F.least("n", "m") >= F.greatest("n", "m") * F.lit(similarity) - 1e-9)
+    hits = ev.join(tr, "sig").where(may).select("e", "t").distinct()
     e = texts.where("in_eval").select(F.col("id").alias("e"), F.col("words").alias("e_words"))
     t = texts.where("in_train").select(F.col("id").alias("t"), F.col("words").alias("t_words"))
     both = F.size(F.array_intersect("e_words", "t_words"))
-    near = hits.join(e, "e").join(t, "t").where(both >= F.lit(similarity) * (F.size("e_words") + F.size("t_words") - both)).select("e", "t")
-    es = texts.where("in_eval").select(F.col("id").alias("e"), "set_key")
-    ts = texts.where("in_train").select(F.col("id").alias("t"), "set_key")
-    same = es.join(ts, "set_key").select("e", "t")
-    return near.unionByName(same).distinct()
+    return hits.join(e, "e").join(t, "t").where(both >= F.lit(similarity) * (F.size("e_words") + F.size("t_words") - both)).select("e", "t", (both / F.size("e_words")).alias("containment"))
 
 
 def cross_split_links(rows: DataFrame, record: Column, split: Column, key: Column, text: Column, similarity: float = 0.75) -> DataFrame:
-    """Links (record_eval, record_train, reason) between records of evaluation and training splits.
+    """Links (record_eval, record_train, reason, containment) between records of evaluation and training splits.
 
     record, split (normalized, null for none) , key (content hash, null where it
     stands for nothing) and text are expressions on rows. Rows without record or
     split are left out; null texts and texts without words match nothing. Reason
-    is ``id``, ``hash`` or ``text``; a pair can have several. Repeated rows
-    count once.
+    is ``id``, ``hash`` or ``text``; a pair can have several. containment is the
+    greatest share of an evaluation text's words that the training text holds,
+    null for the other reasons. Repeated rows count once.
     """
     d = rows.select(record.alias("record"), split.alias("split"), key.alias("key"), text.alias("text")).where("record is not null and split is not null")
     d = d.withColumn("side", F.when(F.col("split") == "train", "train").otherwise("eval"))
@@ -181,11 +164,11 @@ def cross_split_links(rows: DataFrame, record: Column, split: Column, key: Colum
     texts = cut(distinct_texts(d.select("side", "text")).withColumn("id", F.monotonically_increasing_id()))
     pairs = text_pairs(texts, similarity)
     ids = texts.select("id", "tk", "tk2")
-    pairs = pairs.join(ids.toDF("e", "e_tk", "e_tk2"), "e").join(ids.toDF("t", "t_tk", "t_tk2"), "t").select("e_tk", "e_tk2", "t_tk", "t_tk2")
+    pairs = pairs.join(ids.toDF("e", "e_tk", "e_tk2"), "e").join(ids.toDF("t", "t_tk", "t_tk2"), "t").select("e_tk", "e_tk2", "t_tk", "t_tk2", "containment")
     er = ev.where("has_text").select(F.col("tk").alias("e_tk"), F.col("tk2").alias("e_tk2"), F.col("record").alias("record_eval")).distinct()
     tt = tr.where("has_text").select(F.col("tk").alias("t_tk"), F.col("tk2").alias("t_tk2"), F.col("record").alias("record_train")).distinct()
-    by_text = pairs.join(er, ["e_tk", "e_tk2"]).join(tt, ["t_tk", "t_tk2"]).select("record_eval", "record_train", F.lit("text").alias("reason")).distinct()
-    return by_id.unionByName(by_hash).unionByName(by_text)
+    by_text = pairs.join(er, ["e_tk", "e_tk2"]).join(tt, ["t_tk", "t_tk2"]).groupBy("record_eval", "record_train").agg(F.lit("text").alias("reason"), F.max("containment").alias("containment"))
+    return by_id.unionByName(by_hash).withColumn("containment", F.lit(None).cast("double")).unionByName(by_text)
 
 
 def overlap_pairs(links: DataFrame) -> DataFrame:
@@ -195,9 +178,9 @@ def overlap_pairs(links: DataFrame) -> DataFrame:
 
 
 def overlap_report(links: DataFrame, rows: DataFrame, record: Column, split: Column, source: Column) -> DataFrame:
-    """Per evaluation split and source: records, and those that overlap with training by each reason."""
+    """Per evaluation split and source: records, those that overlap with training by each reason, and the mean over records of the greatest containment of a text."""
     ev = rows.select(record.alias("record"), split.alias("split"), F.coalesce(source, F.lit("none")).alias("dataset_source")).where("record is not null and split is not null and split != 'train'").distinct()
-    why = links.groupBy(F.col("record_eval").alias("record")).agg(*(F.max((F.col("reason") == r).cast("int")).alias(r) for r in ("id", "hash", "text")))
+    why = links.groupBy(F.col("record_eval").alias("record")).agg(*(F.max((F.col("reason") == r).cast("int")).alias(r) for r in ("id", "hash", "text")), F.max("containment").alias("containment"))
     j = ev.join(why, "record", "left")
     n = lambda r: F.coalesce(F.sum(r), F.lit(0)).alias(f"n_by_{r}")
-    return j.groupBy("split", "dataset_source").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("id").isNotNull()).alias("n_overlapping"), n("id"), n("hash"), n("text"))
+    return j.groupBy("split", "dataset_source").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("id").isNotNull()).alias("n_overlapping"), n("id"), n("hash"), n("text"), F.avg("containment").alias("mean_containment"))
