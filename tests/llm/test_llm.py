@@ -130,6 +130,12 @@ def test_consensus_edges(spark):
     assert consensus.consensus_messages(l, ("x", "y"), w)[0].first().consensus == "y"  # the witness weighs more than one label
 
 
+def test_consensus_tells_that_rounds_ran_out(spark):
+    rows = [(str(i), a, l) for i, v in enumerate(("xxy", "xyx", "yxx", "yyx", "xxx")) for a, l in zip("abc", v)]
+    with pytest.warns(RuntimeWarning, match="stopped after 1 rounds"):
+        consensus.consensus_messages(spark.createDataFrame(rows, "item string, annotator string, label string"), ("x", "y"), max_rounds=1, tolerance=1e-9)
+
+
 # --- mixing
 
 

@@ -18,6 +18,7 @@ many, is summed on the map side and never gathered.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 
@@ -70,7 +71,7 @@ def _logistic(x: Column) -> Column:
 
 
 def consensus_messages(labels: DataFrame, classes: Sequence[str], witness: DataFrame | None = None, witness_rate: float = 0.95, max_rounds: int = 15, tolerance: float = 1e-2) -> tuple[DataFrame, DataFrame, int]:
-    """Message passing to convergence over (item, annotator, label) rows, one per item and annotator.
+    """Message passing, stopped early, over (item, annotator, label) rows, one per item and annotator.
 
     witness (item, status): one decision per item that counts as a vote whose
     rate is fixed at witness_rate instead of being estimated; unknown items and
@@ -81,8 +82,9 @@ def consensus_messages(labels: DataFrame, classes: Sequence[str], witness: DataF
     annotators: annotator, n_labels, reliability (expected share of right
     labels, smoothed), agreement_rate (share equal to the consensus).
 
-    Rounds stop when no belief moved by more than tolerance. Labels outside the
-    classes are dropped. No labels: both results are empty.
+    Rounds stop when no belief moved by more than tolerance, which is before they
+    come to rest: rounds beyond it make the result worse where truth is known (see the README). Where max_rounds
+    stops them first, a warning tells so. Labels outside the classes are dropped. No labels: both results are empty.
     """
     k = len(classes)
     number = F.element_at(F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))]), F.col("label"))
@@ -119,7 +121,10 @@ def consensus_messages(labels: DataFrame, classes: Sequence[str], witness: DataF
         new = cut(new.select("item", "annotator", "vote", *((F.col(f"r{c}") / known).alias(f"b{c}") for c in range(k)), *(F.abs(F.col(f"r{c}") / known - F.col(f"old{c}")).alias(f"d{c}") for c in range(k)), *(f"f{c}" for c in range(k))))
         moved = new.agg(F.max(F.greatest(*(f"d{c}" for c in range(k))))).first()[0] if k > 1 else 0
         state = new.select("item", "annotator", "vote", *(f"b{c}" for c in range(k)))
-        if moved is None or moved <= tolerance or rounds >= max_rounds:
+        if moved is None or moved <= tolerance:
+            break
+        if rounds >= max_rounds:
+            warnings.warn(f"stopped after {rounds} rounds, the last of which moved a belief by {moved:.2g}; the tolerance is {tolerance:g}", RuntimeWarning, stacklevel=2)
             break
     best = F.array_max(F.array(*(F.struct(F.col(f"f{c}").alias("score"), F.lit(-c).alias("order")) for c in range(k))))
     per_item = new.groupBy("item").agg(*(F.max(f"f{c}").alias(f"f{c}") for c in range(k))).withColumn("_best", best)
