@@ -230,6 +230,15 @@ def test_pair_rules():
     assert not pairs.wrong_language("", "Ein Hund steht auf der Straße.")
 
 
+def test_refusal_after_a_long_opening():
+    asked = "You have asked for a caption of the picture and for every object that can be seen in it, named in order of size. Your question also asks for the colours of all of them, one by one, and for the light. Please note that my reading of the request is that it wants one long paragraph. "
+    assert pairs.is_refusal(asked + "I'm sorry, but I can't help with that request.")
+    told = "A brown dog sits near the gate of a large garden in the evening sun. Two red bicycles lean against the wall behind the dog and the gate. A woman in a green coat walks past them with a basket of apples. "
+    assert pairs.is_refusal(told + "I can't see the picture.", prompt=told) and not pairs.is_refusal(told + "I can't say who took the picture.")
+    # a first match that tells what is seen does not hide a later one
+    assert pairs.is_refusal("I can't say more about this picture, only the door. I'm not able to help with that.")
+
+
 def test_truncated_answers(spark):
     full = [f"A {a} dog sits near the {p}. The scene looks {a} and calm at dusk." for a in ("small", "large", "brown") for p in ("door", "wall", "house", "gate")]
     rows = [(f"f{i}", "Describe the image.", t, 64) for i, t in enumerate(full * 3)]

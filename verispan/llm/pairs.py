@@ -210,19 +210,50 @@ _DECLINING = frozenset((
 ).split())
 
 
-def is_refusal(caption: str, words: list[str] | None = None) -> bool:
-    """Declines to answer, or says the picture cannot be seen or discussed; quoted text does not count."""
-    if _DECLINING.isdisjoint(words if words is not None else _words(caption)):
+# Words of a sentence about the request or the one who answers, which is no answer yet.
+_ASIDE = frozenset((
+    "i we me my us our you your request requests question asks asked prompt task instruction instructions sorry apologies thank thanks please policy policies guidelines ai assistant "
+    "ich mir mich wir sie anfrage frage bitte danke je moi nous vous demande question merci yo nosotros usted petición solicitud pregunta gracias io richiesta domanda grazie eu pedido ik u vraag я мы вы запрос вопрос"
+).split())
+
+
+def _answers(sentence: str, asked: frozenset[str]) -> bool:
+    """A statement about something else than the request, which it does not restate either."""
+    w = _words(sentence)
+    return len(w) >= 4 and not sentence.rstrip(_CLOSERS).endswith("?") and _ASIDE.isdisjoint(_apart(w)) and sum(x in asked for x in w) < 0.7 * len(w)
+
+
+def _apart(words: list[str]) -> list[str]:
+    """The words, and the parts of those with an apostrophe."""
+    return [*words, *(x for w in words if "'" in w or "’" in w for x in w.replace("’", "'").split("'"))]
+
+
+def _may_decline(words: list[str]) -> bool:
+    return not _DECLINING.isdisjoint(words)
+
+
+def is_refusal(caption: str, words: list[str] | None = None, prompt: str = "") -> bool:
+    """Declines to answer, or says the picture cannot be seen or discussed; quoted text does not count.
+
+    Every sentence is searched. Where a sentence that answers comes first, only the opening of
+    the text can decline: an answer that adds what it cannot tell is one.
+    """
+    if not _may_decline(words if words is not None else _words(caption)):
         return False
-    t = _QUOTED.sub(" ", caption).strip()
-    head = " ".join(re.split(r"(?<=[.!?])\s+", t)[:3])
-    for r in REFUSALS:
-        m = r.search(head)
-        if m:
-            sentence = head[m.start() :]
-            if not _TELLS.search(re.split(r"(?<=[.!?])\s+", sentence)[0]) or re.search(r"(?i)\bonly\s+(?:work|able)", sentence):
-                # a refusal is the point of the answer: it opens it
-                return m.start() < 120 or len(head) < 200
+    sentences = re.split(r"(?<=[.!?])\s+", _QUOTED.sub(" ", caption).strip())
+    opening = len(" ".join(sentences[:3]))
+    asked = frozenset(_words(prompt)) if prompt else frozenset()
+    answered, at = False, 0
+    for i, t in enumerate(sentences):
+        if _may_decline(_words(t)):
+            for m in (m for r in REFUSALS for m in r.finditer(t)):
+                opens = at + m.start() < 120 or (opening < 200 and i < 3)
+                if (opens or not answered) and (not _TELLS.search(t[m.start() :]) or re.search(r"(?i)\bonly\s+(?:work|able)", " ".join([t[m.start() :], *sentences[i + 1 :]]))):
+                    return True
+        answered = answered or _answers(t, asked)
+        if answered and at > 120 and i >= 3:
+            break
+        at += len(t) + 1
     return False
 
 
@@ -277,7 +308,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((i, "empty", False, False, False, None, "", "", 0, 0, limit))
                 continue
             words = _words(c)
-            kind = "copied" if is_copied(p, c) else "refusal" if is_refusal(c, words) else "language" if wrong_language(p, c, words) else None
+            kind = "copied" if is_copied(p, c) else "refusal" if is_refusal(c, words, p) else "language" if wrong_language(p, c, words) else None
             o, sure, key, w1, w2 = unfinished(c, words)
             out.append((i, kind, o, sure, key != c.rstrip(), key, w1, w2, len(words), len(key), limit))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(_ROWS), _ROWS)], schema=_ROWS)
