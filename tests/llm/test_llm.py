@@ -239,6 +239,11 @@ def test_refusal_after_a_long_opening():
     assert pairs.is_refusal("I can't say more about this picture, only the door. I'm not able to help with that.")
 
 
+@pytest.mark.parametrize("text", ["I'll pass on this one.", "I’ll refrain from describing the photo.", "We'll skip the picture.", "I’d need to see the photo first.", "The photo couldn’t be processed.", "The photo can't be shown.", "Icannot help.", "We’d rather not comment on this."])
+def test_every_way_to_decline_gets_to_the_rules(text):
+    assert any(r.search(text) for r in pairs.REFUSALS) and pairs.is_refusal(text)
+
+
 def test_truncated_answers(spark):
     full = [f"A {a} dog sits near the {p}. The scene looks {a} and calm at dusk." for a in ("small", "large", "brown") for p in ("door", "wall", "house", "gate")]
     rows = [(f"f{i}", "Describe the image.", t, 64) for i, t in enumerate(full * 3)]

@@ -200,14 +200,16 @@ def is_copied(prompt: str, caption: str) -> bool:
     return seen and not c
 
 
-# One of these words is in every way to decline.
+# One of these words, or parts of words around an apostrophe, is in every way to decline.
 _DECLINING = frozenset((
-    "i we me my us our i'm we're i'd we'd can't cannot couldn't won't can't can’t won’t i’m cant unable able not don't don’t impossible possible sorry apologies unfortunately regrettably decline declined denied refused refuse rejected "
+    "i we me my us our t n cannot couldnot cant unable able not impossible possible sorry apologies unfortunately regrettably decline declined denied refused refuse rejected "
     "withheld blocked filtered removed redacted censored request requests policy policies guidelines rules permission ability capability access lack without allow permit enable prevents forbids ai understanding another different something "
     "content description caption answer response information help detail details reply output query prompt message "
-    "nicht möglich leid leider bedaure entschuldigung ablehnen je peux puis désolé désolée regrette malheureusement il m'est m’est n'est refuser décliner no puedo podemos posible debo niego siento lamentablemente lamento disculpe "
+    "nicht möglich leid leider bedaure entschuldigung ablehnen je peux puis désolé désolée regrette malheureusement il refuser décliner no puedo podemos posible debo niego siento lamentablemente lamento disculpe "
     "non posso devo dispiace purtroppo não consigo desculpe infelizmente ik я не могу невозможно извините простите сожалению"
 ).split())
+# the rules also take a pronoun without a space before what follows
+_DECLINING |= {p + w for p in ("i", "we") for w in "can cannot cant could couldnt won wont will am are may must would do dont refuse decline".split()}
 
 
 # Words of a sentence about the request or the one who answers, which is no answer yet.
@@ -229,7 +231,7 @@ def _apart(words: list[str]) -> list[str]:
 
 
 def _may_decline(words: list[str]) -> bool:
-    return not _DECLINING.isdisjoint(words)
+    return not _DECLINING.isdisjoint(_apart(words))
 
 
 def is_refusal(caption: str, words: list[str] | None = None, prompt: str = "") -> bool:
