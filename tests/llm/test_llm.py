@@ -244,6 +244,14 @@ def test_every_way_to_decline_gets_to_the_rules(text):
     assert any(r.search(text) for r in pairs.REFUSALS) and pairs.is_refusal(text)
 
 
+def test_copies_of_any_length_and_long_markup():
+    q = "Where is the cat?"
+    assert pairs.is_copied(q, " ".join([q] * 200)) and not pairs.is_copied(q, " ".join([q] * 200) + " On the left near the door.")
+    assert pairs.is_copied("Describe", "Describe. describe! DESCRIBE") and not pairs.is_copied("Cat?", "A cat.")
+    assert pairs.is_empty('<div class="answer"></div>' * 20) and pairs.is_empty("N/A" + " " * 300) and pairs.is_empty("lorem" + " " * 300 + "ipsum")
+    assert not pairs.is_empty("<p>" * 100 + "Left.") and not pairs.is_empty("A dog sits near the gate. " * 20)
+
+
 def test_truncated_answers(spark):
     full = [f"A {a} dog sits near the {p}. The scene looks {a} and calm at dusk." for a in ("small", "large", "brown") for p in ("door", "wall", "house", "gate")]
     rows = [(f"f{i}", "Describe the image.", t, 64) for i, t in enumerate(full * 3)]

@@ -158,46 +158,60 @@ def language(text: str, request: bool = False, words: list[str] | None = None) -
     return top[0][0], score
 
 
+_LONGEST = max(len(x.split()) for x in PLACEHOLDERS)
+
+
+def _shown(t: str) -> str:
+    return t if t.isascii() else "".join(c for c in t if not hidden(c))
+
+
 def is_empty(caption: str | None) -> bool:
     """Null, blank, or markup, punctuation or a placeholder in place of an answer."""
     if caption is None:
         return True
-    if len(caption) > 200 and _WORD.search(caption, 100):
+    if "<" not in caption and len(_words(_shown(caption[:400]))) > _LONGEST + 1:  # the last may be cut
         return False
-    t = caption if caption.isascii() else "".join(c for c in caption if not hidden(c))
-    words = _words(re.sub(r"<[^<>]*>", " ", t))
+    words = _words(re.sub(r"<[^<>]*>", " ", _shown(caption)))
     if not words:
         return True
     return " ".join(words) in PLACEHOLDERS
 
 
-def is_copied(prompt: str, caption: str) -> bool:
-    """Only repeats the prompt: nothing but its words in order, a few dropped, changed or repeated, and labels."""
+_LABEL_WORDS = frozenset("user assistant human system question q a answer prompt task instruction you asked said input output request caption response query frage antwort pregunta respuesta réponse domanda risposta".split())
+
+
+def is_copied(prompt: str, caption: str, words: list[str] | None = None) -> bool:
+    """Only repeats the prompt, however often: nothing but its words in order, a few dropped, changed or repeated, and labels."""
     p = _words(prompt)
-    if len(caption) > 8 * len(prompt) + 100 or len(p) < 2:
+    own = set(p)
+    w = words if words is not None else _words(caption)
+    # a turn below has at least as many words of the prompt as others
+    if not p or 2 * sum(x not in own and x not in _LABEL_WORDS for x in w) > len(w):
         return False
     c = _words(_LABEL.sub(" ", caption))
-    if not c or len(c) > 4 * len(p) + 2 or 2 * len(set(p) & set(c)) < len(set(p)):
+    if not c or 2 * len(own & set(c)) < len(own):
         return False
-    seen = False
-    while c:
-        m = difflib.SequenceMatcher(None, p, c[: len(p) + 2], autojunk=False)
+    if len(p) == 1:
+        return own == set(c)
+    at = 0
+    while at < len(c):
+        m = difflib.SequenceMatcher(None, p, c[at : at + len(p) + 2], autojunk=False)
         blocks = [b for b in m.get_matching_blocks() if b.size]
         if not blocks:
             break
         same = sum(b.size for b in blocks)
         end = blocks[-1].b + blocks[-1].size
-        slips = (end - same) + (1 if end < len(c) and end == len(c) - 1 and blocks[-1].a + blocks[-1].size < len(p) else 0)
+        left = len(c) - at
+        slips = (end - same) + (1 if end < left and end == left - 1 and blocks[-1].a + blocks[-1].size < len(p) else 0)
         if same < 0.7 * len(p) and not (len(p) <= 4 and same >= len(p) - 1):
             break
         if slips > max(1, len(p) // 6):
             break
         # a question turned into a statement answers it: its verb has moved behind the next word
-        if not seen and c[0] == p[1] and p[0] in c[1 : len(p)]:
+        if not at and c[0] == p[1] and p[0] in c[1 : len(p)]:
             break
-        seen = True
-        c = c[end + (slips - (end - same)) :]
-    return seen and not c
+        at += end + (slips - (end - same))
+    return at >= len(c)
 
 
 # One of these words, or parts of words around an apostrophe, is in every way to decline.
@@ -310,7 +324,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((i, "empty", False, False, False, None, "", "", 0, 0, limit))
                 continue
             words = _words(c)
-            kind = "copied" if is_copied(p, c) else "refusal" if is_refusal(c, words, p) else "language" if wrong_language(p, c, words) else None
+            kind = "copied" if is_copied(p, c, words) else "refusal" if is_refusal(c, words, p) else "language" if wrong_language(p, c, words) else None
             o, sure, key, w1, w2 = unfinished(c, words)
             out.append((i, kind, o, sure, key != c.rstrip(), key, w1, w2, len(words), len(key), limit))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(_ROWS), _ROWS)], schema=_ROWS)
