@@ -30,3 +30,14 @@ def test_append_and_ingest_are_resumable(spark, tmp_path):
         (src / f"{i}.json").write_text(json.dumps({"k": str(i), "v": i}) + "\n")
         ingest_new(spark, str(src), str(tmp_path / "t"), str(tmp_path / "p"), schema, ["k"])
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["0", "1"]
+
+
+def test_ingest_keeps_rows_that_come_weeks_late(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    runs = [[("a", "2024-03-30"), ("a", "2024-03-30")], [("b", "2024-03-31")], [("c", "2024-01-02"), ("a", "2024-03-30"), (None, "2024-01-01"), (None, "2024-01-01")], [(None, "2024-01-01"), ("d", None)]]
+    for i, rows in enumerate(runs):
+        (src / f"{i}.json").write_text("".join(json.dumps({"k": k, "t": t and t + "T00:00:00"}) + "\n" for k, t in rows))
+        ingest_new(spark, str(src), str(tmp_path / "t"), str(tmp_path / "p"), "k string, t timestamp", ["k"], "t")
+    ingest_new(spark, str(src), str(tmp_path / "t"), str(tmp_path / "p"), "k string, t timestamp", ["k"], "t")
+    assert sorted(str(r.k) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == ["None", "a", "b", "c", "d"]
