@@ -95,3 +95,16 @@ def test_pgm_label_refuses_unknown(spark):
     d = spark.createDataFrame([("unknown",)], "s string")
     with pytest.raises(Exception, match="no spin"):
         d.select(scalar.pgm_label(F.col("s"))).collect()
+
+
+def test_claim_grids_are_those_of_the_reference(spark, monkeypatch):
+    from verispan.plans import claim_queries as q
+
+    rows = [(f"i{i}", o, 0.1 * o, 0.2, 1) for i in range(3) for o in (1, 2, 3)]
+    claims = spark.createDataFrame(rows, "image_id string, ordinal int, theta double, eps double, y int")
+    monkeypatch.setattr(q, "claims_base", lambda *_: claims)
+    grid = {r.coupling: r.log_likelihood for r in q.chain_loglik_grid(spark, "").collect()}
+    assert len(grid) == 201 and max(grid, key=grid.get) == 2.0  # labels that always agree
+    gap = max(r.gap for r in q.robust_bounds(spark, "").collect())
+    assert gap <= 3 * 0.5 / 100 + 1e-9
+    assert tuple(q.robust_bounds_checked(spark, "").first()) == (0, 0, 0)

@@ -20,6 +20,10 @@ def _p():
     return F.col("p")
 
 
+#: Steps of the budget grid and couplings tried, as in the reference.
+GRID_STEPS = 100
+COUPLING_GRID = [j / 100 for j in range(201)]
+
 _LABELLED = "claims WHERE y IS NOT NULL"
 
 
@@ -84,13 +88,13 @@ def box_bounds(spark: SparkSession, base: str) -> DataFrame:
 def robust_bounds(spark: SparkSession, base: str) -> DataFrame:
     """Budget-coupled bounds of every claim on its image's chain."""
     g = inference.chain_graphs(claims_base(spark, base), COUPLING)
-    return rounded(inference.robust_bounds(g, budget=0.5, steps=20).select("image_id", (F.col("target") + 1).alias("ordinal"), "nominal", "lower_grid", "upper_grid", "lower_certified", "upper_certified", "gap"))
+    return rounded(inference.robust_bounds(g, budget=0.5, steps=GRID_STEPS).select("image_id", (F.col("target") + 1).alias("ordinal"), "nominal", "lower_grid", "upper_grid", "lower_certified", "upper_certified", "gap"))
 
 
 @CORE.add("robust_bounds_checked", "SELECT 0 AS n_outside, 0 AS n_over_budget, 0 AS n_off_nominal")
 def robust_bounds_checked(spark: SparkSession, base: str) -> DataFrame:
     """What must hold of every bound: certified holds grid holds nominal, witnesses keep to the budget. Counts of what does not."""
-    b = inference.robust_bounds(inference.chain_graphs(claims_base(spark, base), COUPLING), budget=0.5, steps=10)
+    b = inference.robust_bounds(inference.chain_graphs(claims_base(spark, base), COUPLING), budget=0.5, steps=GRID_STEPS)
     spent = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.abs(x))
     inside = (F.col("lower_certified") <= F.col("lower_grid")) & (F.col("upper_grid") <= F.col("upper_certified"))
     nominal = (F.col("lower_grid") <= F.col("nominal") + 1e-12) & (F.col("nominal") <= F.col("upper_grid") + 1e-12)
@@ -101,7 +105,7 @@ def robust_bounds_checked(spark: SparkSession, base: str) -> DataFrame:
 @CORE.add("chain_loglik_grid")
 def chain_loglik_grid(spark: SparkSession, base: str) -> DataFrame:
     """Log-likelihood of the labels given the chain for a grid of couplings, summed per coupling."""
-    return rounded(conformal.chain_loglik(claims_base(spark, base).where("y is not null"), [j / 20 for j in range(11)]), 3)
+    return rounded(conformal.chain_loglik(claims_base(spark, base).where("y is not null"), COUPLING_GRID), 3)
 
 
 @CORE.add("classification_metrics", _sql(f"SELECT {_CLS} FROM (SELECT {_COUNTS} FROM claims)"))
