@@ -108,3 +108,13 @@ def test_claim_grids_are_those_of_the_reference(spark, monkeypatch):
     gap = max(r.gap for r in q.robust_bounds(spark, "").collect())
     assert gap <= 3 * 0.5 / 100 + 1e-9
     assert tuple(q.robust_bounds_checked(spark, "").first()) == (0, 0, 0)
+
+
+def test_bootstrap_with_the_replicates_of_the_reference(spark, monkeypatch):
+    from verispan.plans import claim_queries as q
+
+    claims = spark.createDataFrame([(f"i{i}", 0.9 if i % 3 else 0.1, i % 2) for i in range(60)], "image_id string, p double, y int")
+    monkeypatch.setattr(q, "claims_base", lambda *_: claims)
+    assert q.CORE.queries["cluster_bootstrap_full"](spark, "").count() == 500
+    r = q.CORE.queries["bootstrap_interval_full"](spark, "").first()
+    assert r.n_replicates == 500 and r.lower < r.median < r.upper

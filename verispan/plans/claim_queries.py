@@ -403,6 +403,21 @@ def bootstrap_interval(spark: SparkSession, base: str) -> DataFrame:
     return rounded(resampling.interval(rounded(_replicates(spark, base, 20)), "error_rate"), 5)
 
 
+#: Replicates of the reference. The two queries above keep the 20 of their SQL.
+REPLICATES = 500
+_BOOT_FULL = _BOOT.replace("range(20)", f"range({REPLICATES})")
+
+
+@CORE.add("cluster_bootstrap_full", _sql(_BOOT_FULL))
+def cluster_bootstrap_full(spark: SparkSession, base: str) -> DataFrame:
+    return rounded(_replicates(spark, base, REPLICATES))
+
+
+@CORE.add("bootstrap_interval_full", _sql(f"SELECT round(quantile_cont(error_rate, 0.025), 5) AS lower, round(quantile_cont(error_rate, 0.5), 5) AS median, round(quantile_cont(error_rate, 0.975), 5) AS upper, count(*) AS n_replicates FROM ({_BOOT_FULL})"))
+def bootstrap_interval_full(spark: SparkSession, base: str) -> DataFrame:
+    return rounded(resampling.interval(rounded(_replicates(spark, base, REPLICATES)), "error_rate"), 5)
+
+
 def _replicates(spark: SparkSession, base: str, reps: int) -> DataFrame:
     g = claims_base(spark, base).where("y is not null").groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.sum(((_p() >= 0.5).cast("int") != _y()).cast("int")).alias("e"))
     b = resampling.replicates(g, "image_id", reps, {"n": F.col("n"), "e": F.col("e")}, seed="boot")
