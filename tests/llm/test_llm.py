@@ -47,19 +47,47 @@ def passages(spark):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string"), docs, items
 
 
-def test_leaks_equal_brute_force_on_both_paths(spark, passages):
+def test_leaks_equal_brute_force_in_any_number_of_portions(spark, passages):
     d, i, docs, items = passages
     runs = lambda t: {tuple(x[k : k + 12]) for x in [words_of(t)] for k in range(len(x) - 11)}
     want = {(a, b) for a, s in docs for b, t in items if runs(s) & runs(t)}
     shipped = leakage.leaked_windows(spark, d, i)
-    joined = leakage.leaked_windows(spark, d, i, most_shipped=0)
+    portions = leakage.leaked_windows(spark, d, i, most_shipped=300)
     assert {tuple(r) for r in leakage.leaked_items(shipped).collect()} == want
-    key = lambda df: sorted((r.doc_id, r.item_id, r.doc_pos, r.item_pos, r.distance, round(r.similarity, 9), r.exact) for r in df.collect())
-    assert key(shipped) == key(joined)
+    key = lambda df: sorted((r.doc_id, r.item_id, r.doc_pos, r.item_pos, r.size, r.distance, round(r.similarity, 9), r.run, r.exact) for r in df.collect())
+    assert key(shipped) == key(portions)
     assert (102, 90) in {(r.doc_id, r.item_id) for r in shipped.collect()}
     assert leakage.leaked_windows(spark, d.limit(0), i).count() == 0 == leakage.leaked_windows(spark, d, i.limit(0)).count()
 
 
+def test_fingerprints_equal_counting():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    h = r.integers(0, 2**63, 90).astype(np.uint64) * np.uint64(2) + r.integers(0, 2, 90).astype(np.uint64)
+    bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    for size in (1, 2, 3, 5, 7, 8, 12, 24, 48, 90, 91):
+        want = [sum(1 << k for k in range(64) if 2 * int(bits[p : p + size, k].sum()) > size) for p in range(90 - size + 1)]
+        assert leakage.simhash_windows(h, size).tolist() == want
+
+
+def test_an_edited_item_is_alike_and_long_texts_are_read_whole(spark):
+    r = random.Random(2)
+    w = [f"w{i}" for i in range(900)]
+    item = r.choices(w, k=100)
+    edited = [*item]
+    edited[10] = "other"  # no 12-word windows of it are alone enough, the item-sized ones are
+    long = r.choices(w, k=70_000) + item + r.choices(w, k=70_000)
+    piece = r.choices(w, k=9000)
+    docs = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(long)), (3, " ".join(piece[4090:4110])), (4, " ".join(item[:6])), (4, " ".join(item[6:12]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item), "b", "t", 0), (2, " ".join(piece), "b", "t", 0)], "item_id long, item_text string, benchmark_name string, heldout_split string, doc_id int")
+    hits = leakage.leaked_windows(spark, docs, items)
+    assert {tuple(x) for x in leakage.leaked_items(hits).collect()} == {(1, 1), (2, 1), (3, 2)}  # rows of one id are not read together
+    assert any(x.size == 96 and not x.exact and x.doc_id == 1 for x in hits.collect())
+    rep = {x.item_id: x for x in leakage.leak_report(hits, items).collect()}
+    assert rep[1].n_docs == rep[1].n_docs_run == 2 and rep[1].n_docs_alike == 0
+
+
 # --- components and splits
 
 

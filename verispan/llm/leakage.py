@@ -1,13 +1,20 @@
 """Passages of held-out items inside corpus documents.
 
-Items are cut into overlapping windows of ``size`` words (an item shorter than
-that is one window of its own size). Every document window of an item's size
-gets a SimHash fingerprint. The 64 bits are split into radius + 1 blocks: two
-fingerprints within the radius agree in one block at least, so looking up equal
-blocks finds all of them, with no probability involved. Candidates are then
-verified on the words themselves: weighted Jaccard similarity of their five-word
-shingles, a shingle weighing ln(1 + items / items that hold it), so phrases that
-many items share count little.
+Items are cut into overlapping windows of two kinds: of ``size`` words, the run
+that counts as a leak, and of about the item's own size (the greatest of 2, 4, 8
+... times ``size`` that fits), which find an item that leaked whole but edited.
+An item shorter than ``size`` is one window of its own size. Every document
+window of such a size gets a SimHash fingerprint. The 64 bits are split into
+radius + 1 blocks: two fingerprints within the radius agree in one block at
+least, so looking up equal blocks finds all of them, with no probability
+involved. Candidates are then verified on the words themselves: weighted Jaccard
+similarity of their five-word shingles. A shingle of the item weighs
+ln(1 + items / items that hold it), so phrases that many items share count
+little; one that only the document has weighs as one that no other item has.
+
+The item windows are shipped to the tasks in portions of at most
+``most_shipped``, with one pass over the documents per portion: nothing that
+grows with the documents is shuffled or shipped.
 """
 
 from __future__ import annotations
@@ -18,227 +25,196 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from verispan.llm.words import WordHash, grams, simhash_windows, words_of
+from verispan.session import cut
 
 SHINGLE = 5
-#: Item windows up to which the lookup table is shipped to the tasks (about 0.2 KB each); more are joined block by block.
+#: Item windows shipped at once (about 60 bytes each).
 MOST_SHIPPED = 200_000
 _CHUNK = 1 << 15
+#: Words of one row of the item table: a longer item is spread over several rows.
+_PIECE = 4096
 
-ITEM_WINDOWS = T.StructType([
-    T.StructField("item_id", T.LongType()), T.StructField("item_pos", T.IntegerType()), T.StructField("size", T.IntegerType()),
-    T.StructField("fp", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())),
-])
-HITS = "doc_id long, item_id long, doc_pos int, item_pos int, size int, distance int, similarity double, exact boolean"
-_HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_pos", pa.int32()), ("item_pos", pa.int32()), ("size", pa.int32()), ("distance", pa.int32()), ("similarity", pa.float64()), ("exact", pa.bool_())])
+_ITEMS = "item_id long, first int, n int, words array<long>"
+HITS = "doc_id long, item_id long, doc_pos int, item_pos int, size int, distance int, similarity double, run int, exact boolean"
+_HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_pos", pa.int32()), ("item_pos", pa.int32()), ("size", pa.int32()), ("distance", pa.int32()), ("similarity", pa.float64()), ("run", pa.int32()), ("exact", pa.bool_())])
 
 
-def blocks_of(fp: np.ndarray, radius: int) -> list[np.ndarray]:
-    """The radius + 1 blocks of each fingerprint, as equal in width as 64 bits allow."""
+def blocks_of(fp: np.ndarray, radius: int) -> list[tuple[np.ndarray, int]]:
+    """The radius + 1 blocks of each fingerprint, as equal in width as 64 bits allow, and their widths."""
     edge = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return [(fp >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(edge, edge[1:])]
+    return [((fp >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1), b - a) for a, b in zip(edge, edge[1:])]
 
 
-def item_windows(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "item_text") -> DataFrame:
-    """All windows of all items, with fingerprint and words."""
+def sizes_of(n: int, size: int) -> list[int]:
+    """The window sizes of an item of n words: the run and the size nearest to the item's own."""
+    if n < size:
+        return [n] if n else []
+    own = size
+    while 2 * own <= n:
+        own *= 2
+    return sorted({size, own})
+
+
+def item_words(items: DataFrame, size: int, id_col: str = "item_id", text_col: str = "item_text") -> DataFrame:
+    """(item_id, first, n, words) of the items, long ones in pieces: ``words`` are hashes from word ``first`` on, n the words of the whole item."""
 
     def run(batches):
+        import pandas as pd
+
         wh = WordHash()
         for pdf in batches:
             out = []
             for i, t in zip(pdf["_id"], pdf["_text"]):
-                w = words_of(t)
-                n = min(size, len(w))
-                if n:
-                    fps = simhash_windows(wh(w), n).view(np.int64)
-                    out += [(int(i), p, n, int(f), w[p : p + n]) for p, f in enumerate(fps)]
-            yield __import__("pandas").DataFrame(out, columns=[f.name for f in ITEM_WINDOWS])
+                h = wh(words_of(t)).view(np.int64)
+                most = max(sizes_of(len(h), size), default=1)
+                out += [(int(i), p, len(h), h[p : p + _PIECE + most - 1]) for p in range(0, max(1, len(h) - most + 1), _PIECE) if len(h)]
+            yield pd.DataFrame(out, columns=["item_id", "first", "n", "words"])
 
     d = items.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null and _text is not null").distinct()
-    return d.mapInPandas(run, ITEM_WINDOWS)
-
+    return d.mapInPandas(run, _ITEMS)
 
-class Verifier:
-    """Weighted Jaccard similarity of the shingles of two windows."""
 
-    def __init__(self, weights: dict[int, float], rare: float) -> None:
-        self.weights, self.rare, self.wh = weights, rare, WordHash()
-
-    def __call__(self, a: list[str], b: list[str]) -> float:
-        if a == b:
-            return 1.0
-        x, y = (set(grams(self.wh(w), SHINGLE).tolist()) for w in (a, b))
-        w = self.weights
-        both = sum(w.get(s, self.rare) for s in x & y)
-        return both / (both + sum(w.get(s, self.rare) for s in x ^ y))
-
-
-def _weights(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shingle, weight) over the items, and their number: for the shipped form these are collected behind the size check."""
+def shingle_counts(pieces: DataFrame) -> DataFrame:
+    """(shingle, items that hold it)."""
 
     def run(batches):
-        wh = WordHash()
-        for pdf in batches:
-            rows = {(int(i), int(s)) for i, w in zip(pdf["item_id"], pdf["words"]) for s in grams(wh(list(w)), SHINGLE).view(np.int64)}
-            yield __import__("pandas").DataFrame(list(rows), columns=["item_id", "shingle"])
-
-    n = windows.agg(F.countDistinct("item_id").alias("_n"))
-    df = windows.mapInPandas(run, "item_id long, shingle long").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("_df"))
-    return df, n
-
-
-def _stream(batches: Iterator[pa.RecordBatch], sizes: list[int], take):
-    """Cut each document into chunks of words and hand the windows of each size to take(doc ids, first positions, words, hashes, size)."""
-    wh = WordHash()
-    most = max(sizes, default=1)
-    for b in batches:
-        ids, pos, words = [], [], []
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            w = words_of(t)
-            ids += [i] * len(w)
-            pos += range(len(w))
-            words += w
-        ids, pos = np.array(ids, np.int64), np.array(pos, np.int32)
-        for at in range(0, len(words), _CHUNK):
-            # the chunk and the words that a window begun in it may reach
-            end = min(len(words), at + _CHUNK + most - 1)
-            h = wh(words[at:end])
-            for size in sizes:
-                n = min(_CHUNK, len(words) - at, max(0, end - at - size + 1))
-                if n <= 0:
-                    continue
-                whole = ids[at : at + n] == ids[at + size - 1 : at + size - 1 + n]
-                yield from take(ids, pos, words, at, np.flatnonzero(whole), simhash_windows(h[: n + size - 1], size), size)
-
-
-def leaked_windows(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = 12, radius: int = 3, similarity: float = 0.8,
-                   most_shipped: int = MOST_SHIPPED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs of a document window and an item window that are alike.
+        import pandas as pd
 
-    Columns as in HITS: positions count words from 0; ``exact`` says that all
-    words agree. Every pair of windows whose fingerprints differ in at most
-    ``radius`` bits is verified; identical windows always are (distance 0).
-    Null, empty and word-less texts give nothing; empty tables give no rows;
-    repeated items count once, repeated documents repeat their rows.
-    """
-    windows = item_windows(items, size)
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null and _text is not null and _text != ''")
-    # the check of the size comes before anything is shipped; it stops counting at the bound
-    n_windows = windows.select(F.lit(1)).limit(most_shipped + 1).count()
-    df, n = _weights(windows)
-    if n_windows <= most_shipped:
-        rows = windows.collect()
-        n_items = len({r.item_id for r in rows})
-        weights = {r.shingle & (2**64 - 1): float(np.log1p(n_items / r["_df"])) for r in df.collect()}
-        table = spark.sparkContext.broadcast((rows, weights, n_items))
-        return d.mapInArrow(lambda it: _by_lookup(it, table.value, radius, similarity), HITS)
-    return _by_join(d, windows, df, n, size, radius, similarity)
-
-
-def _by_lookup(batches, shipped, radius: int, similarity: float):
-    rows, weights, n_items = shipped
-    verify = Verifier(weights, float(np.log1p(n_items)))
-    by_size: dict[int, list] = {}
-    for r in rows:
-        by_size.setdefault(r.size, []).append(r)
-    tables = {}
-    for size, rs in by_size.items():
-        fps = np.array([r.fp for r in rs], np.int64).view(np.uint64)
-        per_block = []
-        for blk in blocks_of(fps, radius):
-            order = np.argsort(blk, kind="stable")
-            per_block.append((blk[order], order))
-        tables[size] = (rs, fps, per_block)
-
-    def take(ids, pos, words, at, starts, doc_fps, size):
-        rs, fps, per_block = tables[size]
-        f = doc_fps[starts]
+        for pdf in batches:
+            rows = {(int(i), int(s)) for i, w in zip(pdf["item_id"], pdf["words"]) for s in grams(np.asarray(w, np.int64).view(np.uint64), SHINGLE).view(np.int64)}
+            yield pd.DataFrame(list(rows), columns=["item_id", "shingle"])
+
+    return pieces.mapInPandas(run, "item_id long, shingle long").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+
+
+class Lookup:
+    """Item windows by size and fingerprint block, and the verification of what they find."""
+
+    def __init__(self, pieces: list[tuple[int, int, int, np.ndarray]], weights: dict[int, float], rare: float, size: int, radius: int, similarity: float) -> None:
+        self.weights, self.rare, self.radius, self.least = weights, rare, radius, similarity
+        self.words = np.concatenate([np.asarray(w, np.int64).view(np.uint64) for *_, w in pieces]) if pieces else np.empty(0, np.uint64)
+        at = np.r_[0, np.cumsum([len(w) for *_, w in pieces])].astype(np.int64)
+        made: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for k, (item, first, n, _) in enumerate(pieces):
+            h = self.words[at[k] : at[k + 1]]
+            most = max(sizes_of(n, size))
+            for s in sizes_of(n, size):
+                fps = simhash_windows(h, s)
+                # the words after the piece's own are there for its longest windows; the last piece of an item keeps all
+                last = first + len(h) >= n
+                fps = fps if last or s == most else fps[:_PIECE]
+                p = np.arange(len(fps))
+                made.setdefault(s, []).append((fps, np.full(len(fps), item), first + p, at[k] + p))
+        self.tables = {}
+        for s, parts in made.items():
+            fps, item, pos, start = (np.concatenate(c) for c in zip(*parts))
+            lists = []
+            for keys, width in blocks_of(fps, radius):
+                order = np.argsort(keys, kind="stable")
+                if width <= 16:  # the first window of every key value
+                    lists.append((np.searchsorted(keys[order], np.arange((1 << width) + 1, dtype=np.uint64)).astype(np.int64), order, True))
+                else:
+                    lists.append((keys[order], order, False))
+            self.tables[s] = (fps, item, pos, start, lists)
+
+    def candidates(self, f: np.ndarray, size: int) -> np.ndarray:
+        """(window, item window, distance) of all pairs within the radius."""
+        fps, _, _, _, lists = self.tables[size]
         found = []
-        for (keys, order), blk in zip(per_block, blocks_of(f, radius)):
-            lo, hi = np.searchsorted(keys, blk, "left"), np.searchsorted(keys, blk, "right")
+        for (keys, order, direct), (blk, _) in zip(lists, blocks_of(f, self.radius)):
+            b = blk.astype(np.int64) if direct else blk
+            lo, hi = (keys[b], keys[b + 1]) if direct else (np.searchsorted(keys, b, "left"), np.searchsorted(keys, b, "right"))
             hit = np.flatnonzero(hi > lo)
             if not len(hit):
                 continue
             n = hi[hit] - lo[hit]
             w = np.repeat(hit, n)
             k = order[np.repeat(lo[hit] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-            dist = np.bitwise_count(f[w] ^ fps[k])
-            near = dist <= radius
-            found.append(np.stack([w[near], k[near], dist[near].astype(np.int64)], axis=1))
-        if not found:
-            return
-        out = []
-        for w, k, dist in np.unique(np.concatenate(found), axis=0).tolist():
-            p = at + int(starts[w])
-            mine, r = words[p : p + size], rs[k]
-            s = verify(mine, r.words)
-            if s >= similarity:
-                out.append((int(ids[p]), r.item_id, int(pos[p]), r.item_pos, size, int(dist), s, mine == r.words))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(zip(*out), _HITS)], schema=_HITS)
-
-    yield from _stream(batches, sorted(tables), take)
-
-
-def _by_join(d: DataFrame, windows: DataFrame, df: DataFrame, n: DataFrame, size: int, radius: int, similarity: float) -> DataFrame:
-    """The same for any number of items: both sides spread over their blocks and joined on (size, block number, block)."""
-    sizes = list(range(1, size + 1))
-    schema = "doc_id long, doc_pos int, size int, doc_fp long, doc_words array<string>"
-
-    def cut(batches):
-        def take(ids, pos, words, at, starts, fps, sz):
-            f = fps[starts].view(np.int64)
-            p = starts + at
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[p]), pa.array(pos[p]), pa.array(np.full(len(p), sz, np.int32)), pa.array(f), pa.array([words[x : x + sz] for x in p.tolist()], pa.list_(pa.string()))],
-                names=["doc_id", "doc_pos", "size", "doc_fp", "doc_words"],
-            )
-
-        yield from _stream(batches, sizes, take)
-
-    edge = [64 * i // (radius + 1) for i in range(radius + 2)]
-
-    def spread(x: DataFrame, fp: str) -> DataFrame:
-        blocks = F.array(*(F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edge, edge[1:]))))
-        return x.withColumn("_b", F.explode(blocks)).withColumn("_no", F.col("_b.no")).withColumn("_bits", F.col("_b.bits")).drop("_b")
+            dist = np.bitwise_count(f[w] ^ fps[k]).astype(np.int64)
+            near = dist <= self.radius
+            if near.any():
+                found.append(np.stack([w[near], k[near], dist[near]], axis=1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+
+    def verify(self, mine: np.ndarray, theirs: np.ndarray) -> tuple[float, int]:
+        """(weighted similarity, longest run of equal words at equal places) of a document's and an item's window."""
+        same = mine == theirs
+        if same.all():
+            return 1.0, len(mine)
+        x, y = (set(grams(w, SHINGLE).tolist()) for w in (mine, theirs))
+        weigh = lambda s: self.weights.get(s, self.rare) if s in y else self.rare
+        both, apart = sum(map(weigh, x & y)), sum(map(weigh, x ^ y))
+        breaks = np.flatnonzero(np.r_[True, ~same, True])
+        return both / (both + apart), int(np.diff(breaks).max()) - 1
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The hits of (id, text) batches; texts are read whole, in chunks of words."""
+        wh = WordHash()
+        most = max(self.tables, default=1)
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            per_row = [wh(words_of(t)) for t in b.column(1).to_pylist()]
+            n_words = np.array([len(x) for x in per_row], np.int64)
+            if not n_words.sum():
+                continue
+            h, first = np.concatenate(per_row), np.cumsum(n_words) - n_words
+            row = np.repeat(np.arange(len(ids)), n_words)
+            for at in range(0, len(h), _CHUNK):
+                # the chunk and the words that a window begun in it may reach
+                part = h[at : at + _CHUNK + most - 1]
+                for size, (_, item, pos, start, _) in self.tables.items():
+                    fps = simhash_windows(part, size)[:_CHUNK]
+                    own = np.flatnonzero(row[at : at + len(fps)] == row[at + size - 1 : at + size - 1 + len(fps)])
+                    out = []
+                    for w, k, dist in self.candidates(fps[own], size).tolist():
+                        p = at + int(own[w])
+                        sim, run = self.verify(h[p : p + size], self.words[start[k] : start[k] + size])
+                        if sim >= self.least:
+                            out.append((int(ids[row[p]]), int(item[k]), int(p - first[row[p]]), int(pos[k]), size, dist, sim, run, run == size))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _HITS)], schema=_HITS)
 
-    present = windows.select("size").distinct()
-    left = spread(d.mapInArrow(cut, schema).join(F.broadcast(present), "size"), "doc_fp")  # at most `size` rows
-    right = spread(windows, "fp").withColumnRenamed("words", "item_words")
-    near = left.join(right, ["size", "_no", "_bits"]).withColumn("distance", F.bit_count(F.col("doc_fp").bitwiseXOR(F.col("fp")))).where(F.col("distance") <= radius)
-    cand = near.dropDuplicates(["doc_id", "doc_pos", "size", "item_id", "item_pos"])
-    # document frequencies of the candidates' shingles come by join, gathered again per candidate (at most 2 * size shingles each)
-    cols = ["doc_id", "item_id", "doc_pos", "item_pos", "size", "distance"]
 
-    def shingled(batches):
-        import pandas as pd
-
-        wh = WordHash()
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                x, y = (set(grams(wh(list(w)), SHINGLE).view(np.int64).tolist()) for w in (r.doc_words, r.item_words))
-                same = list(r.doc_words) == list(r.item_words)
-                out += [(r.doc_id, r.item_id, r.doc_pos, r.item_pos, r.size, r.distance, same, s, s in x and s in y) for s in x | y]
-            yield pd.DataFrame(out, columns=[*cols, "exact", "shingle", "both"])
+def leaked_windows(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = 12, radius: int = 3, similarity: float = 0.8,
+                   most_shipped: int = MOST_SHIPPED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs of a document window and an item window that are alike.
 
-    s = cand.select(*cols, "doc_words", "item_words").mapInPandas(shingled, "doc_id long, item_id long, doc_pos int, item_pos int, size int, distance int, exact boolean, shingle long, both boolean")
-    s = s.join(df, "shingle", "left").crossJoin(F.broadcast(n))  # n is one row
-    w = F.log1p(F.col("_n") / F.coalesce("_df", F.lit(1)))
-    g = s.groupBy(*cols, "exact").agg((F.sum(F.when(F.col("both"), w).otherwise(0.0)) / F.sum(w)).alias("similarity"))
-    return g.where(F.col("similarity") >= similarity).select("doc_id", "item_id", "doc_pos", "item_pos", "size", "distance", "similarity", "exact")
+    Columns as in HITS: positions count words from 0; ``run`` is the longest run
+    of equal words at equal places, ``exact`` says that all agree. Every pair of
+    windows whose fingerprints differ in at most ``radius`` bits is verified;
+    identical windows always are (distance 0). Words are compared by 64-bit hashes.
+    Null, empty and word-less texts give nothing; empty tables give no rows;
+    repeated items count once, repeated documents repeat their rows.
+    """
+    pieces = cut(item_words(items, size))
+    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).where("_id is not null and _text is not null and _text != ''")
+    # every word of a piece begins two windows at most
+    told = pieces.agg(F.countDistinct("item_id").alias("items"), F.coalesce(F.sum(2 * F.size("words")), F.lit(0)).alias("windows")).first()
+    portions = max(1, -(-told.windows // most_shipped))
+    rare = float(np.log1p(told.items))
+    counts = shingle_counts(pieces)
+    out = None
+    for k in range(portions):
+        mine = pieces.where(F.pmod(F.xxhash64("item_id", "first"), F.lit(portions)) == k) if portions > 1 else pieces
+        rows = [(r.item_id, r["first"], r.n, np.array(r.words, np.int64)) for r in mine.collect()]
+        held = counts if portions == 1 else counts.join(shingle_counts(mine).select("shingle"), "shingle", "left_semi")
+        weights = {r.shingle & (2**64 - 1): float(np.log1p(told.items / r["df"])) for r in held.collect()}
+        table = spark.sparkContext.broadcast((rows, weights))
+        part = d.mapInArrow(lambda it, table=table: Lookup(*table.value, rare, size, radius, similarity).run(it), HITS)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def leaked_items(hits: DataFrame, run: int = 12) -> DataFrame:
-    """Documents with the items they share a run of at least ``run`` words with: doc_id, item_id."""
-    return hits.where(F.col("exact") & (F.col("size") >= run)).select("doc_id", "item_id").distinct()
+    """Documents with the items they share a run of at least ``run`` words with, confirmed on the verified windows: doc_id, item_id."""
+    return hits.where(F.col("run") >= run).select("doc_id", "item_id").distinct()
 
 
-def leak_report(hits: DataFrame, items: DataFrame, size: int = 12) -> DataFrame:
-    """Per leaked item: documents hit, largest share of the item's windows found in one document, best similarity."""
-    per = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("_w"), F.max("similarity").alias("_s"))
-    g = per.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("_w").alias("max_windows"), F.max("_s").alias("best_similarity"))
+def leak_report(hits: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
+    """Per leaked item: documents hit, those with a run of ``run`` equal words, those only alike, most windows found in one document, best similarity."""
+    per = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("_w"), F.max("similarity").alias("_s"), F.max("run").alias("_r"))
+    g = per.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("_r") >= run).alias("n_docs_run"), F.count_if(F.col("_r") < run).alias("n_docs_alike"), F.max("_w").alias("max_windows"), F.max("_s").alias("best_similarity"))
     names = items.select("item_id", "benchmark_name", "heldout_split").distinct()
-    return names.join(g, "item_id").select("item_id", "benchmark_name", "heldout_split", "n_docs", "max_windows", "best_similarity")
+    return names.join(g, "item_id").select("item_id", "benchmark_name", "heldout_split", "n_docs", "n_docs_run", "n_docs_alike", "max_windows", "best_similarity")

@@ -15,7 +15,6 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,8 +163,3 @@ def same_look_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = pairs.join(a, ["_canon", "_stored"]).join(b, ["_canon", "_other"]).where("_a != _b")
     return full.select(F.least("_a", "_b").alias("doc_id_a"), F.greatest("_a", "_b").alias("doc_id_b")).distinct()
 
-
-def bits(hashes: np.ndarray) -> np.ndarray:
-    """The 64 bits of each hash as +1 and -1, one row per hash."""
-    raw = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return raw.astype(np.int32) * 2 - 1

@@ -7,10 +7,11 @@ import re
 
 import numpy as np
 
-from verispan.llm.lookalike import bits, canonical
+from verispan.llm.lookalike import canonical
 
 #: A run of letters and digits; a mark belongs to the letter it stands on.
 WORD = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u093a-\u094d])*")
+_PLAIN = re.compile("[a-z0-9]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KEPT = 1 << 18  # words whose hash a worker keeps; it starts anew beyond
 
@@ -19,6 +20,8 @@ def words_of(text: str | None, fold_looks: bool = True) -> list[str]:
     """Words of a text without case; with fold_looks, characters that look the same count as the same."""
     if not text:
         return []
+    if text.isascii():
+        return _PLAIN.findall(text.lower())
     t = canonical(text) if fold_looks else text
     return WORD.findall(t.casefold())
 
@@ -26,20 +29,18 @@ def words_of(text: str | None, fold_looks: bool = True) -> list[str]:
 class WordHash:
     """64-bit hashes of words, the same on every machine."""
 
+    class _Known(dict):
+        def __missing__(self, w: str) -> int:
+            h = self[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            return h
+
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = self._Known()
 
     def __call__(self, words: list[str]) -> np.ndarray:
         if len(self.known) > _KEPT:
             self.known.clear()
-        get = self.known.get
-        out = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            h = get(w)
-            if h is None:
-                h = self.known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            out[i] = h
-        return out
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -55,14 +56,51 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
         return x * _MIX
 
 
+def _add(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Sum of two numbers per bit position, each given by its binary digits, lowest first."""
+    out, carry = [], None
+    for k in range(max(len(a), len(b))):
+        some = [x[k] for x in (a, b) if k < len(x)] + ([] if carry is None else [carry])
+        if len(some) == 1:
+            out.append(some[0])
+            carry = None
+        elif len(some) == 2:
+            out.append(some[0] ^ some[1])
+            carry = some[0] & some[1]
+        else:
+            half = some[0] ^ some[1]
+            out.append(half ^ some[2])
+            carry = (some[0] & some[1]) | (half & some[2])
+    return out if carry is None else [*out, carry]
+
+
 def simhash_windows(h: np.ndarray, size: int) -> np.ndarray:
     """SimHash (64 bits) of every window of size words; a bit is set where more than half of the words have it.
 
-    The sums slide, so the cost per window does not depend on its size.
+    The 64 counts are kept as binary digits across words of 64 bits, and those of
+    2, 4, 8 ... words are sums of two halves, so a window takes a few dozen
+    operations whatever its size.
     """
-    if len(h) < size:
+    n = len(h) - size + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
-    c = np.zeros((len(h) + 1, 64), np.int32)
-    np.cumsum(bits(h), axis=0, out=c[1:])
-    s = (c[size:] - c[:-size]) > 0
-    return np.packbits(s, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+    power, width, total, done = [h], 1, None, 0
+    while width <= size:
+        if size & width:
+            part = [x[done : done + n] for x in power]
+            total = part if total is None else _add(total, part)
+            done += width
+        if 2 * width <= size:
+            m = len(h) - 2 * width + 1
+            power = _add([x[:m] for x in power], [x[width : width + m] for x in power])
+        width *= 2
+    need = size // 2 + 1
+    more, equal = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0))
+    for k in range(max(len(total), need.bit_length()) - 1, -1, -1):
+        x = total[k] if k < len(total) else np.zeros(n, np.uint64)
+        if need >> k & 1:
+            equal &= x
+        else:
+            more |= equal & x
+            equal &= ~x
+    return more | equal
