@@ -19,21 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verispan.session import cut
+
 # Letters of other scripts drawn like a Latin letter.
 DRAWN_ALIKE = {
     # Cyrillic small letters
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o",
-    "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
+    "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y",
     # Cyrillic capital letters
     "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M",
-    "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y",
+    "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y", "Ӏ": "I",
     # Greek small letters
-    "ϲ": "c", "ϳ": "j", "ο": "o", "ν": "v",
+    "ϲ": "c", "ϳ": "j", "ο": "o", "ν": "v", "ρ": "p", "ι": "i",
     # Greek capital letters
     "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N",
     "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
     # Armenian letters
-    "օ": "o", "Տ": "S", "Լ": "L", "Օ": "O",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "Տ": "S", "Լ": "L", "Օ": "O", "Ս": "U",
+    # Cherokee letters
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
 }
 
 # Format characters that do show.
@@ -132,16 +136,16 @@ def canonical_forms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return d.mapInArrow(_forms, "_id long, _canon binary, _stored binary, _changed boolean, _length int")
 
 
-def canonical_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "canonical_text") -> DataFrame:
-    """id and the canonical text itself; null and empty texts stay as they are."""
-    schema = pa.schema([("_id", pa.int64()), ("_text", pa.string())])
+def canonical_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "canonical_text", keep_text: bool = False) -> DataFrame:
+    """id, the stored text where asked for, and the canonical text; null and empty texts stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([canonical(t) for t in b.column(1).to_pylist()], pa.string())], schema=schema)
+            new = pa.array([canonical(t) for t in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), *([b.column(1)] if keep_text else []), new], names=["_id", *(["_text"] if keep_text else []), "_new"])
 
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "_id long, _text string")
-    return d.select(F.col("_id").alias(id_col), F.col("_text").alias(out_col))
+    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, "_id long, _text string, _new string" if keep_text else "_id long, _new string")
+    return d.select(F.col("_id").alias(id_col), *([F.col("_text").alias(text_col)] if keep_text else []), F.col("_new").alias(out_col))
 
 
 def same_look_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,7 +156,7 @@ def same_look_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined. The rows are as many as the result asks for. Repeated rows of a
     document count once.
     """
-    forms = canonical_forms(docs, id_col, text_col).select("_id", "_canon", "_stored").distinct()
+    forms = cut(canonical_forms(docs, id_col, text_col).select("_id", "_canon", "_stored").distinct())  # keys only: texts are read once
     looks = forms.groupBy("_canon").agg(F.min("_stored").alias("_lo"), F.max("_stored").alias("_hi")).where("_lo != _hi").select("_canon")
     some = forms.join(looks, "_canon")
     variants = some.select("_canon", "_stored").distinct()
