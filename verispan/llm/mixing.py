@@ -22,32 +22,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verispan.functions.keys import norm_source
+from verispan.llm.words import RANKS, tokenizer
 from verispan.session import cut
 
-#: Where the files of the public tokenizers are.
-TOKENIZERS = "/opt/tokenizers"
 #: Blocks of one source and repeat: bounds the tables of blocks however large the source is.
 MOST_BLOCKS = 1 << 20
-_TEXTS_AT_ONCE = 256
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), tokenizer_file: str = f"{TOKENIZERS}/byte_bpe_50k.json") -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), tokenizer_file: str = RANKS) -> DataFrame:
     """id, the kept columns and ``tokens``: the tokens of the whole text in a public tokenizer; 0 for null and empty."""
     cols = [F.col(id_col).alias("_id"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("_text")]
     d = docs.select(*cols)
     schema = d.drop("_text").withColumn("tokens", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer_file)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        t = tokenizer(tokenizer_file)
         for b in batches:
             n = b.num_columns - 1
-            texts = [x or "" for x in b.column(n).to_pylist()]
-            counts = []
-            for at in range(0, len(texts), _TEXTS_AT_ONCE):
-                counts += [len(e) for e in t.encode_batch(texts[at : at + _TEXTS_AT_ONCE], add_special_tokens=False)]
+            counts = [len(t.encode_ordinary(x)) if x else 0 for x in b.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(counts, pa.int64())], names=[*b.schema.names[:n], "tokens"])
 
     out = d.mapInArrow(run, schema)
@@ -100,7 +92,7 @@ def shard_quotas(spark: SparkSession, shards: int, names: Sequence[str], quotas:
 
 
 def mix(docs: DataFrame, targets: Sequence[tuple[str, float, int]], shard_tokens: int = 2_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", tokenizer_file: str = f"{TOKENIZERS}/byte_bpe_50k.json", most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, DataFrame]:
+        source_col: str = "source", tokenizer_file: str = RANKS, most_blocks: int = MOST_BLOCKS) -> tuple[DataFrame, DataFrame]:
     """(mix, report) of the records of the target sources.
 
     mix: doc_id, source, copy (0 the first use), shard, position in the shard,

@@ -8,7 +8,7 @@ answer is told by three things gathered over all answers:
   whether it stops inside a word or sentence;
 * ends: how often each last word, after the word before it, ends a sentence in
   finished answers;
-* length limits: lengths at which unfinished answers pile up, per limit.
+* length limits: lengths in tokens at which unfinished answers pile up, per limit.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verispan.llm.lookalike import hidden
+from verispan.llm.words import RANKS, tokenizer
 from verispan.session import cut
 
 # Frequent function words that tell languages apart.
@@ -311,22 +312,24 @@ def unfinished(caption: str, words: list[str] | None = None) -> tuple[bool, bool
     return (not whole) or (unclosed and not whole), sure and not whole, key, w[-2] if len(w) > 1 else "", w[-1] if w else ""
 
 
-_ROWS = pa.schema([("response_id", pa.string()), ("defect", pa.string()), ("open", pa.bool_()), ("sure", pa.bool_()), ("marked", pa.bool_()), ("key", pa.string()), ("w1", pa.string()), ("w2", pa.string()), ("n_words", pa.int32()), ("length", pa.int32()), ("limit", pa.int32())])
-ROWS = "response_id string, defect string, open boolean, sure boolean, marked boolean, key string, w1 string, w2 string, n_words int, length int, limit int"
+_ROWS = pa.schema([("response_id", pa.string()), ("defect", pa.string()), ("open", pa.bool_()), ("sure", pa.bool_()), ("marked", pa.bool_()), ("key", pa.string()), ("w1", pa.string()), ("w2", pa.string()), ("n_words", pa.int32()), ("length", pa.int32()), ("tokens", pa.int32()), ("limit", pa.int32())])
+ROWS = "response_id string, defect string, open boolean, sure boolean, marked boolean, key string, w1 string, w2 string, n_words int, length int, tokens int, limit int"
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], tokenizer_file: str = RANKS) -> Iterator[pa.RecordBatch]:
+    """The rules on each pair, and what the cut rules need: tokens are counted for answers without an end, which alone are held against limits."""
+    count = lambda t: len(tokenizer(tokenizer_file).encode_ordinary(t))
     for b in batches:
         out = []
         for i, p, c, limit in zip(*(b.column(k).to_pylist() for k in range(4))):
             p = p or ""
             if is_empty(c):
-                out.append((i, "empty", False, False, False, None, "", "", 0, 0, limit))
+                out.append((i, "empty", False, False, False, None, "", "", 0, 0, 0, limit))
                 continue
             words = _words(c)
             kind = "copied" if is_copied(p, c, words) else "refusal" if is_refusal(c, words, p) else "language" if wrong_language(p, c, words) else None
             o, sure, key, w1, w2 = unfinished(c, words)
-            out.append((i, kind, o, sure, key != c.rstrip(), key, w1, w2, len(words), len(key), limit))
+            out.append((i, kind, o, sure, key != c.rstrip(), key, w1, w2, len(words), len(key), count(key) if o and kind is None else 0, limit))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(_ROWS), _ROWS)], schema=_ROWS)
 
 
@@ -431,15 +434,19 @@ def shortened(keys: DataFrame) -> DataFrame:
     return inner.unionByName(seams).groupBy("tk").agg(F.max("said").alias("said"))
 
 
-def length_spikes(rows: DataFrame, least: int = 20, times: float = 5.0, reach: int = 4) -> DataFrame:
-    """(limit, length) at which unfinished answers pile up: ``times`` the mean of the ``reach`` lengths to either side."""
-    h = rows.where("open and length >= 16").groupBy("limit", "length").agg(F.count(F.lit(1)).alias("n"))
-    near = Window.partitionBy("limit").orderBy("length").rangeBetween(-reach, reach)  # a row per length
+def length_spikes(rows: DataFrame, least: int = 20, times: float = 5.0, reach: int = 4, from_tokens: int = 12) -> DataFrame:
+    """(limit, tokens) at which unfinished answers pile up: ``times`` the mean of the ``reach`` lengths to either side.
+
+    Lengths are tokens of a public tokenizer, as limits are; each limit has its
+    own. Under ``from_tokens`` short answers pile up that nothing has cut.
+    """
+    h = rows.where("open and defect is null").where(F.col("tokens") >= from_tokens).groupBy("limit", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    near = Window.partitionBy("limit").orderBy("tokens").rangeBetween(-reach, reach)  # a row per length
     h = h.withColumn("_around", (F.sum("n").over(near) - F.col("n")) / (2 * reach))
-    return h.where((F.col("n") >= least) & (F.col("n") >= times * F.greatest("_around", F.lit(1.0)))).select("limit", "length")
+    return h.where((F.col("n") >= least) & (F.col("n") >= times * F.greatest("_around", F.lit(1.0)))).select("limit", "tokens")
 
 
-def broken_pairs(rows: DataFrame, response_id: Column, prompt: Column, caption: Column, limit: Column, least_share: float = 0.08) -> DataFrame:
+def broken_pairs(rows: DataFrame, response_id: Column, prompt: Column, caption: Column, limit: Column, least_share: float = 0.08, tokenizer_file: str = RANKS, parts: bool = False) -> DataFrame:
     """(response_id, defect_type): one row per distinct id with a defective answer.
 
     defect_type is empty, copied, refusal, language or truncated, the first that
@@ -449,34 +456,40 @@ def broken_pairs(rows: DataFrame, response_id: Column, prompt: Column, caption:
     its last words end at most ``least_share`` of the sentences they occur in (five
     times as much at a length spike); a neighbour that merely adds the full stop
     clears it, and a single word is taken as an answer. Null ids are left out, repeated rows count once. Texts are used whole.
+    Neighbours, ends and their counts are taken over distinct texts, so an answer
+    that a third of all rows repeat is one row of the sort. parts adds a column
+    ``found_by``: rule, mark, word, sentence (both by a neighbour), spike or end.
     """
-    d = rows.select(response_id.alias("response_id"), prompt.alias("p"), caption.alias("c"), limit.cast("int").alias("limit")).where("response_id is not null").distinct()
-    judged = cut(d.mapInArrow(_judge, ROWS).withColumn("tk", F.xxhash64("key")))
-    keyed = judged.where("key is not null and key != ''")
-    near = shortened(keyed.select("tk", "key"))
-    whole = keyed.where("not open and defect is null").select("key").mapInArrow(_end_counts, "w1 string, w2 string, e long, m long")
+    d = rows.select(response_id.alias("response_id"), prompt.alias("p"), caption.alias("c"), limit.cast("int").alias("limit")).where("response_id is not null")
+    judged = cut(d.mapInArrow(lambda it: _judge(it, tokenizer_file), ROWS).withColumn("tk", F.xxhash64("key")))
+    # repeated answers are merged on the map side before texts are sorted or counted
+    texts = cut(judged.where("key is not null and key != ''").groupBy("tk").agg(F.first("key").alias("key"), F.bool_or(~F.col("open") & F.col("defect").isNull()).alias("whole")))
+    near = shortened(texts)
+    whole = texts.where("whole").select("key").mapInArrow(_end_counts, "w1 string, w2 string, e long, m long")
     pair = whole.groupBy("w1", "w2").agg(F.sum("e").alias("e"), F.sum("m").alias("m"))
-    ask = judged.where("open and defect is null").select("response_id", "sure", "marked", "tk", "w1", "w2", "n_words", "length", "limit")
+    ask = judged.where("open and defect is null").select("response_id", "sure", "marked", "tk", "w1", "w2", "n_words", "length", "tokens", "limit").distinct()
     pair = cut(pair)
     single = pair.groupBy("w2").agg(F.sum("e").alias("e1"), F.sum("m").alias("m1"))
     j = ask.join(pair, ["w1", "w2"], "left").join(single, "w2", "left").join(near, "tk", "left")
-    spike = length_spikes(judged).withColumn("_spike", F.lit(True))
-    j = j.join(spike, ["limit", "length"], "left")
+    spike = length_spikes(judged.select("response_id", "tk", "open", "defect", "tokens", "limit").distinct()).withColumn("_spike", F.lit(True))
+    j = j.join(spike, ["limit", "tokens"], "left")
     both, one = F.coalesce(F.col("e") + F.col("m"), F.lit(0)), F.coalesce(F.col("e1") + F.col("m1"), F.lit(0))
     # the last word's own share stands for ten sightings of the pair
     alone = F.when(one > 0, F.col("e1") / one).otherwise(0.0)
     share = (F.coalesce("e", F.lit(0)) + 10 * alone) / (both + 10)
     bar = F.when(F.col("_spike"), F.lit(5 * least_share)).otherwise(F.lit(least_share))
     said = F.coalesce("said", F.lit(0))
-    truncated = (
-        F.when(F.col("sure"), True)
-        .when((said == INSIDE_WORD) & (F.col("length") >= 4), True)
-        .when(said == AT_END, False)
-        .when((said == INSIDE_SENTENCE) & (F.col("n_words") >= 6), True)
-        .when((F.col("n_words") == 1) & ~F.col("marked"), False)
-        .otherwise(share < bar)
+    how = (
+        F.when(F.col("sure"), "mark")
+        .when((said == INSIDE_WORD) & (F.col("length") >= 4), "word")
+        .when(said == AT_END, None)
+        .when((said == INSIDE_SENTENCE) & (F.col("n_words") >= 6), "sentence")
+        .when((F.col("n_words") == 1) & ~F.col("marked"), None)
+        .when(share < least_share, "end")
+        .when(share < bar, "spike")
     )
-    by_rule = judged.where("defect is not null").select("response_id", F.col("defect").alias("defect_type"))
-    by_cut = j.where(truncated).select("response_id", F.lit("truncated").alias("defect_type"))
+    by_rule = judged.where("defect is not null").select("response_id", F.col("defect").alias("defect_type"), F.lit("rule").alias("found_by"))
+    by_cut = j.withColumn("found_by", how).where("found_by is not null").select("response_id", F.lit("truncated").alias("defect_type"), "found_by")
     order = F.element_at(F.create_map(*[x for i, k in enumerate(("empty", "copied", "refusal", "language", "truncated")) for x in (F.lit(k), F.lit(i))]), F.col("defect_type"))
-    return by_rule.unionByName(by_cut).groupBy("response_id").agg(F.min_by("defect_type", order).alias("defect_type"))
+    first = by_rule.unionByName(by_cut).groupBy("response_id").agg(F.min_by("defect_type", order).alias("defect_type"), F.min_by("found_by", order).alias("found_by"))
+    return first if parts else first.drop("found_by")

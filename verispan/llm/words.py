@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -12,6 +14,10 @@ from verispan.llm.lookalike import canonical
 #: A run of letters and digits; a mark belongs to the letter it stands on.
 WORD = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f\u0483-\u0487\u0591-\u05bd\u064b-\u065f\u093a-\u094d])*")
 _PLAIN = re.compile("[a-z0-9]+")
+#: The file of a public tokenizer: byte pairs by rank.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: the pattern that splits text before the merges of that tokenizer.
+_SPLITS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KEPT = 1 << 18  # words whose hash a worker keeps; it starts anew beyond
 
@@ -26,6 +32,16 @@ def words_of(text: str | None, fold_looks: bool = True) -> list[str]:
     return WORD.findall(t.casefold())
 
 
+@lru_cache(maxsize=4)
+def tokenizer(ranks_file: str = RANKS):
+    """The tokenizer of a file of ranks; the strings of special tokens are ordinary text to it."""
+    import tiktoken
+
+    with open(ranks_file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=_SPLITS, mergeable_ranks=ranks, special_tokens={})
+
+
 class WordHash:
     """64-bit hashes of words, the same on every machine."""
 
