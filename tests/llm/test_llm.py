@@ -306,3 +306,24 @@ def test_truncated_answers(spark):
     run = lambda d: {tuple(x) for x in pairs.broken_pairs(d, F.col("response_id"), F.col("prompt"), F.col("caption"), F.col("lim")).collect()}
     assert run(df) == {("cut1", "truncated"), ("cut2", "truncated"), ("e", "empty")}
     assert run(df.limit(0)) == set()
+
+
+def test_answers_cut_at_a_limit_of_tokens(spark):
+    from verispan.llm.words import tokenizer
+
+    r, t = random.Random(3), tokenizer()
+    # sentences may end with any of these words, so that the last words alone tell nothing
+    w = "river stone market garden window letter winter bridge candle forest orange silver".split()
+    text = lambda k: ". ".join(" ".join(r.choices(w, k=r.randint(4, 9))).capitalize() for _ in range(k)) + "."
+    rows = [(f"f{i}", text(r.randint(2, 20)), 64) for i in range(400)]
+    rows += [(f"c{i}", t.decode(t.encode_ordinary(text(80))[:64]).rstrip("."), 64) for i in range(60)]
+    rows += [(f"u{i}", text(r.randint(2, 20))[:-1], 128) for i in range(60)]  # no full stop, at any length
+    df = spark.createDataFrame([(i, "Describe the image.", c, n) for i, c, n in rows], "response_id string, prompt string, caption string, lim int")
+    got = {x.response_id: x.found_by for x in pairs.broken_pairs(df, F.col("response_id"), F.col("prompt"), F.col("caption"), F.col("lim"), parts=True).collect()}
+    assert sum(v == "spike" for i, v in got.items() if i[0] == "c") > 25
+    assert not any(v == "spike" for i, v in got.items() if i[0] != "c")
+
+
+def test_one_answer_repeated_many_times(spark):
+    df = spark.createDataFrame([(f"r{i}", "Describe the image.", "A brown dog sits near the gate.", 64, i) for i in range(3000)] + [("x", "Describe the image.", "A brown dog sits near the ga", 64, 0)], "response_id string, prompt string, caption string, lim int, key int")
+    assert {tuple(x) for x in pairs.broken_pairs(df, F.col("response_id"), F.col("prompt"), F.col("caption"), F.col("lim")).collect()} == {("x", "truncated")}

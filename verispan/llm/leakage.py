@@ -89,12 +89,18 @@ def shingle_counts(pieces: DataFrame) -> DataFrame:
     return pieces.mapInPandas(run, "item_id long, shingle long").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
 
 
+def _shingles(h: np.ndarray) -> np.ndarray:
+    """The shingle begun at each word; none where the words do not suffice."""
+    return grams(h, SHINGLE) if len(h) >= SHINGLE else np.empty(0, np.uint64)
+
+
 class Lookup:
     """Item windows by size and fingerprint block, and the verification of what they find."""
 
     def __init__(self, pieces: list[tuple[int, int, int, np.ndarray]], weights: dict[int, float], rare: float, size: int, radius: int, similarity: float) -> None:
         self.weights, self.rare, self.radius, self.least = weights, rare, radius, similarity
         self.words = np.concatenate([np.asarray(w, np.int64).view(np.uint64) for *_, w in pieces]) if pieces else np.empty(0, np.uint64)
+        self.shingles = _shingles(self.words)
         at = np.r_[0, np.cumsum([len(w) for *_, w in pieces])].astype(np.int64)
         made: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, (item, first, n, _) in enumerate(pieces):
@@ -138,12 +144,12 @@ class Lookup:
                 found.append(np.stack([w[near], k[near], dist[near]], axis=1))
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
 
-    def verify(self, mine: np.ndarray, theirs: np.ndarray) -> tuple[float, int]:
-        """(weighted similarity, longest run of equal words at equal places) of a document's and an item's window."""
+    def verify(self, mine: np.ndarray, theirs: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, int]:
+        """(weighted similarity, longest run of equal words at equal places) of a document's and an item's window and their shingles."""
         same = mine == theirs
         if same.all():
             return 1.0, len(mine)
-        x, y = (set(grams(w, SHINGLE).tolist()) for w in (mine, theirs))
+        x, y = set(x.tolist()), set(y.tolist())
         weigh = lambda s: self.weights.get(s, self.rare) if s in y else self.rare
         both, apart = sum(map(weigh, x & y)), sum(map(weigh, x ^ y))
         breaks = np.flatnonzero(np.r_[True, ~same, True])
@@ -164,13 +170,17 @@ class Lookup:
             for at in range(0, len(h), _CHUNK):
                 # the chunk and the words that a window begun in it may reach
                 part = h[at : at + _CHUNK + most - 1]
+                shingles = _shingles(part)
                 for size, (_, item, pos, start, _) in self.tables.items():
                     fps = simhash_windows(part, size)[:_CHUNK]
                     own = np.flatnonzero(row[at : at + len(fps)] == row[at + size - 1 : at + size - 1 + len(fps)])
                     out = []
                     for w, k, dist in self.candidates(fps[own], size).tolist():
-                        p = at + int(own[w])
-                        sim, run = self.verify(h[p : p + size], self.words[start[k] : start[k] + size])
+                        o, i = int(own[w]), int(start[k])
+                        p, n = at + o, size - SHINGLE + 1
+                        mine, theirs = h[p : p + size], self.words[i : i + size]
+                        x, y = (shingles[o : o + n], self.shingles[i : i + n]) if n > 0 else (grams(mine, SHINGLE), grams(theirs, SHINGLE))
+                        sim, run = self.verify(mine, theirs, x, y)
                         if sim >= self.least:
                             out.append((int(ids[row[p]]), int(item[k]), int(p - first[row[p]]), int(pos[k]), size, dist, sim, run, run == size))
                     if out:
