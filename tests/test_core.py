@@ -107,7 +107,7 @@ def test_claim_grids_are_those_of_the_reference(spark, monkeypatch):
     assert len(grid) == 201 and max(grid, key=grid.get) == 2.0  # labels that always agree
     gap = max(r.gap for r in q.robust_bounds(spark, "").collect())
     assert gap <= 3 * 0.5 / 100 + 1e-9
-    assert tuple(q.robust_bounds_checked(spark, "").first()) == (0, 0, 0)
+    assert tuple(q.robust_bounds_checked(spark, "").first()) == (9, 0, 0, 0)
 
 
 def test_bootstrap_with_the_replicates_of_the_reference(spark, monkeypatch):
@@ -118,3 +118,39 @@ def test_bootstrap_with_the_replicates_of_the_reference(spark, monkeypatch):
     assert q.CORE.queries["cluster_bootstrap_full"](spark, "").count() == 500
     r = q.CORE.queries["bootstrap_interval_full"](spark, "").first()
     assert r.n_replicates == 500 and r.lower < r.median < r.upper
+
+
+def test_quantiles_and_keyed_sums_need_no_whole_key(spark):
+    r = random.Random(5)
+    rows = [(r.choice(("a", "b", None)), r.choice((None, float("nan"), r.random(), 0.5)), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, x double, i int")
+    got = {x.k: x for x in ordered.quantiles(df, F.col("x"), {"q1": 0.1, "q2": 0.5, "q3": 1.0}, ["k"]).collect()}
+    for k in ("a", "b", None):
+        v = [x for a, x, _ in rows if a == k and x is not None and x == x]
+        assert got[k].n == len(v) and np.allclose([got[k].q1, got[k].q2, got[k].q3], np.quantile(v, [0.1, 0.5, 1.0]))
+    run = ordered.running(df, [F.col("i")], {"c": F.lit(1)}, ["k"]).collect()
+    for k in ("a", "b", None):
+        mine = sorted((x.i, x.c, x.c_total) for x in run if x.k == k)
+        assert [c for _, c, _ in mine] == list(range(1, len(mine) + 1)) and {t for *_, t in mine} == {len(mine)}
+    assert ordered.quantiles(df.limit(0), F.col("x"), {"q": 0.5}).first().q is None
+
+
+def test_permutations_keep_the_number_of_ones(spark):
+    d = spark.createDataFrame([(i, i // 4, int(i // 4 % 2)) for i in range(80)] + [(99, 1, None)], "i int, g int, y int")
+    p = resampling.permuted_labels(d, "y", F.col("i"), 5, "s").groupBy("rep").agg(F.sum("drawn").alias("n"), F.count("*").alias("m")).collect()
+    assert len(p) == 5 and all((x.n, x.m) == (40, 80) for x in p)
+    t = resampling.permutation_pvalue(d, F.col("g"), "y", F.col("i"), 19).first()
+    assert t.observed == pytest.approx(1.0) and t.p_value == pytest.approx(0.05)
+
+
+def test_planted_contract_breaks_are_found(spark):
+    from verispan.operators import audits
+
+    rows = [("a", 0.5, True, 0.1, True), (None, None, True, None, False), ("b", 1.5, True, -2.0, True), ("c", 0.0, False, None, None), ("d", float("nan"), True, float("nan"), True), ("e", None, None, 0.2, False)]
+    d = spark.createDataFrame(rows, "k string, d double, don boolean, s double, son boolean")
+    got = sorted((r.record_key or "", r.violation) for r in audits.evidence_violations(d, F.col("k"), F.col("d"), F.col("don"), F.col("s"), F.col("son")).collect())
+    assert got == [("", "detector_availability"), ("", "empty_key"), ("b", "detector_range"), ("b", "similarity_range"), ("c", "detector_availability"), ("c", "zero_substitution"), ("d", "detector_range"), ("d", "similarity_range"), ("e", "similarity_availability")]
+    c = spark.createDataFrame([("i1", "test"), ("i1", "train"), ("i1", "dev"), ("i2", None), ("i3", "train"), ("i4", None)], "k string, v string")
+    p = spark.createDataFrame([("i1", "test"), ("i1", "train"), ("i2", "train"), ("i4", None)], "k string, v string")
+    got = {tuple(r) for r in audits.disagreeing(c, F.col("k"), F.col("v"), p, F.col("k"), F.col("v")).collect()}
+    assert got == {("dev", "test", 1), (None, "train", 1), ("train", None, 1)}

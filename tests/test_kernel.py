@@ -43,3 +43,36 @@ def test_small_cases():
             K.Tree(*bad)
     assert K.maximum_spanning_tree([(0, 1, 0.5), (1, 2, 0.9), (0, 2, 0.7)]) == [(1, 2, 0.9), (0, 2, 0.7)]
     assert K.critical_radius(K.Tree([-0.5], []), 0) == pytest.approx(0.5, abs=1e-6)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 4), st.floats(0.1, 2))
+def test_grid_bounds_equal_trying_all_allocations(seed, n, budget):
+    t = _tree(seed, n)
+    b = K.solve(t, n - 1, budget, 6)
+    assert np.allclose(K.enumerate_bounds(t, n - 1, budget, 6), (b.lower_grid, b.upper_grid))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 7), st.floats(0, 3))
+def test_many_chains_at_once_equal_one_tree_each(seed, n, budget):
+    r = np.random.default_rng(seed)
+    th, ep, j = r.normal(size=(3, n)), r.uniform(0, 1, (3, n)) * r.integers(0, 2, (3, n)), r.uniform(0, 1, (3, n - 1))
+    got = K.chain_bounds(th, ep, j, budget, 15)
+    for i in range(3):
+        t = K.Tree(th[i], [(k, k + 1, j[i, k]) for k in range(n - 1)], ep[i])
+        for target in range(n):
+            b = K.solve(t, target, budget, 15)
+            for f in ("nominal", "lower_grid", "upper_grid", "lower_certified", "upper_certified", "gap"):
+                assert np.isclose(got[f][i, target], getattr(b, f)), f
+            for f, p in (("delta_lower", b.lower_grid), ("delta_upper", b.upper_grid)):
+                d = got[f][i, target]
+                assert np.isclose(K.marginals(t, d)[target], p) and np.abs(d).sum() <= budget + 1e-9 and (np.abs(d) <= ep[i] + 1e-9).all()
+
+
+def test_topologies_and_couplings():
+    w = np.array([[0, 0.2, 0.9], [0.2, 0, 0.4], [0.9, 0.4, 0]])
+    assert K.topology(3, "chain", w) == [(0, 1, 0.2), (1, 2, 0.4)] and K.topology(3, "star") == [(0, 1, 1.0), (0, 2, 1.0)]
+    assert K.topology(3, "mst", w) == [(0, 2, 0.9), (1, 2, 0.4)] and K.topology(3, "none") == []
+    assert K.maximum_spanning_tree([(0, 1, 0.3)], 4) == [(0, 1, 0.3), (1, 2, 0.5), (2, 3, 0.5)]
+    assert K.couplings([(0, 1, 0.5)], "weighted", 2.0) == [(0, 1, 1.0)] and K.couplings([(0, 1, 0.5)], "zero", 2.0)[0][2] == 0

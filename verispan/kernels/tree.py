@@ -116,10 +116,9 @@ def _highest(t: Tree, root: int, steps: int, step: float, sign: int) -> tuple[np
         for c in kids[u]:
             below, choice = _merge(below, up[c])
             splits[u].append(choice)
-        most = min(int(np.floor(t.eps[u] / step + 1e-8)), steps)
-        gain = np.where(grid <= most, grid * step, -np.inf)
-        profile, own_spend[u] = _merge(below, gain)
-        profile = profile + sign * t.theta[u]
+        # a step moves the own field by a whole step and any other by less: the own comes first
+        own_spend[u] = np.minimum(grid, min(int(np.floor(t.eps[u] / step + 1e-8)), steps))
+        profile = sign * t.theta[u] + own_spend[u] * step + below[grid - own_spend[u]]
         if p >= 0:
             up[u] = message(t.near[u][p], profile)  # odd in the field: the sign passes through
     delta, todo = np.zeros(t.n), [(root, steps)]
@@ -200,8 +199,8 @@ def critical_radius(t: Tree, target: int, tau: float = 0.5, high: float = 10.0,
     return hi
 
 
-def maximum_spanning_tree(edges: Sequence[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-    """Heaviest edges first, ties by (u, v), each kept that joins two parts."""
+def maximum_spanning_tree(edges: Sequence[tuple[int, int, float]], nodes: int = 0, mend: float = 0.5) -> list[tuple[int, int, float]]:
+    """Heaviest edges first, ties by (u, v), each kept that joins two parts. With a number of nodes, parts still apart are joined by edges (i, i + 1) of weight ``mend``."""
     parent: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -216,4 +215,105 @@ def maximum_spanning_tree(edges: Sequence[tuple[int, int, float]]) -> list[tuple
         if a != b:
             parent[b] = a
             out.append((u, v, w))
+    for i in range(nodes - 1):
+        a, b = top(i), top(i + 1)
+        if a != b:
+            parent[b] = a
+            out.append((i, i + 1, mend))
     return out
+
+
+def topology(n: int, kind: str, weights: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Edges of a tree over n nodes: none, chain, star (around node 0) or mst; weights (n x n) are held inside [0, 1], without them all are 1."""
+    w = lambda u, v: 1.0 if weights is None else float(min(max(weights[u][v], 0.0), 1.0))
+    if kind in ("none", "independent"):
+        return []
+    if kind == "chain":
+        return [(i, i + 1, w(i, i + 1)) for i in range(n - 1)]
+    if kind == "star":
+        return [(0, i, w(0, i)) for i in range(1, n)]
+    if kind == "mst":
+        return maximum_spanning_tree([(u, v, w(u, v)) for u in range(n) for v in range(u + 1, n)], n)
+    raise ValueError(f"there is no topology {kind}")
+
+
+def couplings(edges: Sequence[tuple[int, int, float]], strategy: str, strength: float) -> list[tuple[int, int, float]]:
+    """Couplings of weighted edges: zero, the same for all (const) or in proportion to the weight (weighted)."""
+    if strength < 0:
+        raise ValueError("a coupling must not be negative")
+    how = {"zero": lambda s: 0.0, "const": lambda s: strength, "weighted": lambda s: strength * s}[strategy]
+    return [(u, v, how(s)) for u, v, s in edges]
+
+
+def enumerate_bounds(t: Tree, target: int, budget: float, steps: int) -> tuple[float, float]:
+    """Grid bounds by trying all allocations; for tests of small trees."""
+    import itertools
+
+    step = budget / steps
+    most = [min(int(np.floor(e / step + 1e-8)), steps) for e in t.eps]
+    tries = [k for k in itertools.product(*(range(m + 1) for m in most)) if sum(k) <= steps]
+    values = [float(marginals(t, s * step * np.array(k))[target]) for k in tries for s in (-1, 1)]
+    return min(values), max(values)
+
+
+def chain_bounds(theta: np.ndarray, eps: np.ndarray, j: np.ndarray, budget: float, steps: int = 100) -> dict[str, np.ndarray]:
+    """``solve`` for every target of many chains of the same length at once: theta, eps (chains, n), j (chains, n - 1).
+
+    A step spent at a node moves its own field by a whole step, one spent further
+    off by less (a message's slope is at most tanh j < 1). So a node always spends
+    on itself first, and what is left goes on: profiles run along the chain from
+    both ends by a shift, and only the target divides the rest between its sides.
+    """
+    b, n = theta.shape
+    step = budget / steps if steps > 0 else 0.0
+    plain = sigma(chain_fields(theta, j))
+    zero = np.zeros((b, n))
+    if budget <= _TINY or steps <= 0 or n == 0:
+        return {"nominal": plain, "lower_grid": plain, "upper_grid": plain, "lower_certified": plain, "upper_certified": plain, "gap": zero, "delta_lower": np.zeros((b, n, n)), "delta_upper": np.zeros((b, n, n))}
+    most = np.minimum(np.floor(eps / step + 1e-8), steps).astype(int)
+    m = np.arange(steps + 1)[None, :]
+    rows = np.arange(b)
+    fields_at, deltas = {}, {}
+    for sign in (1, -1):
+        ahead: list[np.ndarray] = [np.zeros((b, steps + 1))]
+        behind: list[np.ndarray] = [np.zeros((b, steps + 1))]
+        for out, order in ((ahead, range(n - 1)), (behind, range(n - 1, 0, -1))):
+            for i in order:
+                own = np.minimum(m, most[:, i : i + 1])
+                profile = sign * theta[:, i : i + 1] + own * step + np.take_along_axis(out[-1], m - own, axis=1)
+                link = j[:, i if out is ahead else i - 1][:, None]
+                out.append(message(link, profile))
+        behind.reverse()
+        best, delta = np.zeros((b, n)), np.zeros((b, n, n))
+        for i in range(n):
+            rest = steps - most[:, i : i + 1]
+            there = np.where(m <= rest, np.take_along_axis(ahead[i], np.maximum(rest - m, 0), axis=1) + behind[i], -np.inf)
+            x = there.argmax(axis=1)
+            best[:, i] = sign * theta[:, i] + most[:, i] * step + there[rows, x]
+            delta[:, i, i] = sign * most[:, i] * step
+            for side, left in ((range(i - 1, -1, -1), rest[:, 0] - x), (range(i + 1, n), x)):
+                for u in side:
+                    k = np.minimum(left, most[:, u])
+                    delta[:, i, u] = sign * k * step
+                    left = left - k
+        fields_at[sign], deltas[sign] = sign * best, delta
+    gain = np.zeros((b, n, n))
+    for i in range(n):
+        gain[:, i, i] = 1.0
+        for u in range(i + 1, n):
+            gain[:, i, u] = gain[:, u, i] = gain[:, i, u - 1] * np.tanh(j[:, u - 1])
+    gap = np.minimum(budget, np.einsum("biu,bu->bi", gain, np.minimum(eps, step)))
+    gap[(eps <= _TINY).all(axis=1)] = 0.0
+    low, high = sigma(fields_at[-1]), sigma(fields_at[1])
+    return {"nominal": plain, "lower_grid": low, "upper_grid": high, "lower_certified": np.minimum(low, sigma(fields_at[-1] - gap)), "upper_certified": np.maximum(high, sigma(fields_at[1] + gap)), "gap": gap, "delta_lower": deltas[-1], "delta_upper": deltas[1]}
+
+
+def chain_fields(theta: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Total fields of many chains of the same length."""
+    n = theta.shape[1]
+    left, right = theta.copy(), theta.copy()
+    for i in range(1, n):
+        left[:, i] += message(j[:, i - 1], left[:, i - 1])
+    for i in range(n - 2, -1, -1):
+        right[:, i] += message(j[:, i], right[:, i + 1])
+    return left + right - theta

@@ -30,10 +30,10 @@ def in_several(df: DataFrame, key: Column, value: Column, name: str) -> DataFram
 
 
 def disagreeing(child: DataFrame, key: Column, value: Column, parent: DataFrame, parent_key: Column, parent_value: Column) -> DataFrame:
-    """(child_value, parent_value, n): rows whose value is not among those of their parent key's, with null for an unknown parent. The parent side is one row per key."""
-    p = parent.select(parent_key.alias("_k"), parent_value.alias("_p")).where("_k is not null").groupBy("_k").agg(F.min("_p").alias("parent_value"))
+    """(child_value, parent_value, n): rows whose value is not among those of their parent key's, with null for an unknown parent. parent_value is the first of the parent's values. The parent side is one row per key."""
+    p = parent.select(parent_key.alias("_k"), parent_value.alias("_p")).where("_k is not null").groupBy("_k").agg(F.min("_p").alias("parent_value"), F.collect_set("_p").alias("_all"))  # the distinct values of one key
     c = child.select(key.alias("_k"), value.alias("child_value")).where("_k is not null").groupBy("_k", "child_value").agg(F.count(F.lit(1)).alias("_n"))
-    j = c.join(p, "_k", "left").where(~F.col("child_value").eqNullSafe(F.col("parent_value")))
+    j = c.join(p, "_k", "left").where(F.when(F.col("child_value").isNull(), F.col("parent_value").isNotNull()).otherwise(~F.coalesce(F.array_contains("_all", F.col("child_value")), F.lit(False))))
     return j.groupBy("child_value", "parent_value").agg(F.sum("_n").alias("n"))
 
 

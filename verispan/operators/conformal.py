@@ -7,21 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verispan.operators.ordered import running
+from verispan.operators.ordered import join_keys, quantiles, running
 
 
 def epsilon_by_category(df: DataFrame, residual: Column, category: str, level: float, least_n: int = 5) -> DataFrame:
     """The residuals' quantile (linear interpolation) per category, the global one where a category has fewer than least_n."""
     d = df.select(F.col(category), residual.alias("_r"))
-    glob = d.agg(F.percentile("_r", F.lit(level)).alias("_g"))
-    g = d.groupBy(category).agg(F.count("_r").alias("n"), F.percentile("_r", F.lit(level)).alias("_q"))
-    return g.crossJoin(F.broadcast(glob)).select(category, "n", F.when(F.col("n") >= least_n, F.col("_q")).otherwise(F.col("_g")).alias("epsilon"))  # one row
+    glob = quantiles(d, F.col("_r"), {"_g": level}).select("_g")
+    g = d.groupBy(category).agg(F.count("_r").alias("n"))
+    j = join_keys(g, quantiles(d, F.col("_r"), {"_q": level}, [category]).drop("n"), [category])
+    return j.crossJoin(F.broadcast(glob)).select(category, "n", F.when(F.col("n") >= least_n, F.col("_q")).otherwise(F.col("_g")).alias("epsilon"))  # one row
 
 
 def budget(df: DataFrame, residual: Column, group: str, level: float, least: float) -> DataFrame:
     """Quantile of the residuals' sum per group, at least ``least``."""
     g = df.groupBy(group).agg(F.sum(residual).alias("_s"))
-    return g.agg(F.count(F.lit(1)).alias("n_images"), F.greatest(F.percentile("_s", F.lit(level)), F.lit(least)).alias("budget"), F.max("_s").alias("largest"))
+    q = quantiles(g, F.col("_s"), {"_q": level, "_max": 1.0})
+    return g.agg(F.count(F.lit(1)).alias("n_images")).crossJoin(F.broadcast(q)).select("n_images", F.greatest("_q", F.lit(least)).alias("budget"), F.col("_max").alias("largest"))  # one row
 
 
 def inclusion(df: DataFrame, delta: Column, eps: Column, group: str, total: float, slack: float = 1e-7) -> DataFrame:
@@ -33,7 +35,7 @@ def inclusion(df: DataFrame, delta: Column, eps: Column, group: str, total: floa
 
 def quantile_bins(df: DataFrame, width: str, error: str, bins: int) -> DataFrame:
     """Half-open bins between quantile edges, the last closed: count, mean width, error rate."""
-    edges = df.agg(F.percentile(width, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("_q"))
+    edges = quantiles(df, F.col(width), {f"_q{i}": i / bins for i in range(1, bins)}).select(F.array(*(f"_q{i}" for i in range(1, bins))).alias("_q"))
     d = df.crossJoin(F.broadcast(edges))  # one row
     b = F.size(F.filter("_q", lambda q: F.col(width) >= q))
     return d.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(width).alias("mean_width"), F.avg(error).alias("error_rate"))

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verispan.operators.ordered import join_keys, quantiles
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
@@ -83,12 +85,12 @@ def interval_statistics(df: DataFrame, lower: Column, upper: Column, truth: Colu
     d = df.select(*keys, lower.alias("_l"), upper.alias("_u"), truth.cast("double").alias("_y"))
     w, l, u, y = F.col("_u") - F.col("_l"), F.col("_l"), F.col("_u"), F.col("_y")
     err = F.abs((l + u) / 2 - y)
-    return d.groupBy(*keys).agg(
+    g = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(w).alias("mean_width"), F.stddev_pop(w).alias("std_width"), F.min(w).alias("min_width"), F.max(w).alias("max_width"),
-        *(F.percentile(w, F.lit(q)).alias(f"p{round(q * 100)}_width") for q in (0.25, 0.5, 0.75, 0.9)),
         F.avg(((l < tau) & (u > tau)).cast("double")).alias("crossing_strict"), F.avg(((l <= tau) & (u >= tau)).cast("double")).alias("crossing_inclusive"),
         F.avg(F.when(y == 1, w)).alias("mean_width_hallucinated"), F.avg(F.when(y == 0, w)).alias("mean_width_supported"), F.corr(w, err).alias("width_error_pearson"),
     )
+    return join_keys(g, quantiles(d, w, {f"p{round(q * 100)}_width": q for q in (0.25, 0.5, 0.75, 0.9)}, keys).drop("n"), keys)
 
 
 def pair_dependence(df: DataFrame, a: Column, b: Column, keys: Sequence[str] = ()) -> DataFrame:

@@ -22,21 +22,51 @@ def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], key
     Each name also gets ``<name>_total``, the sum over all rows (of the key).
     """
     d = df.select("*", *(F.coalesce(e.cast("double"), F.lit(0.0)).alias(f"_v_{n}") for n, e in sums.items()))
-    if keys:
-        w = Window.partitionBy(*keys)
-        o = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return d.select("*", *(F.sum(f"_v_{n}").over(o).alias(n) for n in sums), *(F.sum(f"_v_{n}").over(w).alias(f"{n}_total") for n in sums)).drop(*(f"_v_{n}" for n in sums))
-    parts = cut(d.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = parts.groupBy("_part").agg(*(F.sum(f"_v_{n}").alias(n) for n in sums))
-    # one row per part from here: the only global order
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
-    offsets = totals.select("_part", *(F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"_o_{n}") for n in sums), *(F.sum(n).over(everything).alias(f"{n}_total") for n in sums))
-    j = parts.join(F.broadcast(offsets), "_part")
+    keys = list(keys)
+    parts = cut(d.repartitionByRange(*(F.col(k) for k in keys), *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = parts.groupBy("_part", *keys).agg(*(F.sum(f"_v_{n}").alias(n) for n in sums))
+    # a row per part and key that has rows there, from here on: a key with very many rows lies in many parts, each its own task
+    group = keys or [F.lit(0)]
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*group)
+    offsets = totals.select(F.col("_part").alias("_of_part"), *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"_o_{n}") for n in sums), *(F.sum(n).over(everything).alias(f"{n}_total") for n in sums))
+    same = F.col("_part") == F.col("_of_part")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    j = parts.join(offsets if keys else F.broadcast(offsets), same)
     return j.select(*df.columns, *((F.sum(f"_v_{n}").over(inside) + F.col(f"_o_{n}")).alias(n) for n in sums), *(f"{n}_total" for n in sums))
 
 
+def join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys where null equals null; without keys b is one row."""
+    if not keys:
+        return a.crossJoin(F.broadcast(b))
+    r = b.select(*(F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)), *(c for c in b.columns if c not in keys))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    return a.join(r, same, "left").drop(*(f"_r{i}" for i in range(len(keys))))
+
+
+def quantiles(df: DataFrame, value: Column, levels: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, n and one column per level: exact quantiles with linear interpolation, one row per key.
+
+    Counted per distinct value and ranked over ranges of (key, value), so no task
+    and no buffer holds all values of a key. Null and NaN values are left out.
+    """
+    g = df.select(*keys, value.cast("double").alias("_x")).where("_x is not null and not isnan(_x)").groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_k"))
+    r = running(g, [F.col("_x")], {"_upto": F.col("_k")}, keys)
+    n = F.col("_upto_total")
+    aggs = []
+    for name, q in levels.items():
+        at = F.lit(float(q)) * (n - 1)
+        # the value of rank t (from 0) is the first whose running count exceeds t
+        aggs += [F.min(F.when(F.col("_upto") > F.floor(at), F.col("_x"))).alias(f"_lo_{name}"), F.min(F.when(F.col("_upto") > F.ceil(at), F.col("_x"))).alias(f"_hi_{name}"), F.max(at - F.floor(at)).alias(f"_w_{name}")]
+    d = r.groupBy(*keys).agg(F.max(n).cast("long").alias("n"), *aggs)
+    return d.select(*keys, "n", *((F.col(f"_lo_{m}") + (F.col(f"_hi_{m}") - F.col(f"_lo_{m}")) * F.col(f"_w_{m}")).alias(m) for m in levels))
+
+
 def auroc(df: DataFrame, label: Column, score: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Rank-sum AUROC with average ranks for ties; label true is the positive class; null where one class is missing.
 

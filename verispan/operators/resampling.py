@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verispan.functions.scalar import poisson_weight, uniform
+from verispan.operators.metrics import within_group_correlation
+from verispan.operators.ordered import running
 
 
 def replicates(clusters: DataFrame, cluster: str, reps: int, sums: dict[str, Column], seed: str) -> DataFrame:
@@ -28,7 +30,28 @@ def interval(reps: DataFrame, value: str, level: float = 0.95, least: int = 10)
 
 
 def permuted_labels(df: DataFrame, label: str, tie: Column, reps: int, seed: str) -> DataFrame:
-    """rep, and for each row a label drawn from the label shares by hash: the null of no relation, without sorting."""
-    share = df.agg(F.avg(F.col(label).cast("double")).alias("_s"))
-    d = df.crossJoin(F.broadcast(share)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))  # one row
-    return d.withColumn("drawn", (uniform(tie, F.col("rep"), F.lit(seed)) < F.col("_s")).cast("int")).drop("_s")
+    """rep, and for each row and replicate a 0/1 label ``drawn``: a random permutation, so every replicate has as many ones as the data.
+
+    The rows with the least hashes of (row, replicate) take the ones; tie must
+    name a row. Hashes are ranked over ranges, not in one task. Null labels are left out.
+    """
+    d = df.where(F.col(label).isNotNull())
+    ones = d.agg(F.sum(F.col(label).cast("long")).alias("_ones"))
+    e = d.crossJoin(F.broadcast(ones)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))  # one row
+    e = e.withColumn("_u", uniform(tie, F.col("rep"), F.lit(seed)))
+    r = running(e, [F.col("_u"), tie], {"_rank": F.lit(1)}, ["rep"])
+    return r.withColumn("drawn", (F.col("_rank") <= F.col("_ones")).cast("int")).drop("_u", "_rank", "_rank_total", "_ones")
+
+
+def permutation_pvalue(df: DataFrame, group: Column, label: str, tie: Column, reps: int, seed: str = "perm") -> DataFrame:
+    """The within-group correlation of the labels, and (hits + 1) / (reps + 1), a hit being a permutation whose correlation is at least as large."""
+    own = within_group_correlation(df, group, F.col(label)).select(F.col("correlation").alias("observed"))
+    p = permuted_labels(df.withColumn("_group", group), label, tie, reps, seed)
+    g = p.groupBy("rep", "_group").agg(F.count(F.lit(1)).alias("n"), F.sum("drawn").cast("double").alias("s"))
+    n, s = F.col("n"), F.col("s")
+    t = g.where("_group is not null").groupBy("rep").agg(F.sum(n * (n - 1)).alias("pairs"), F.sum((n - 1) * s).alias("sx"), F.sum(s * s - s).alias("sxy"))
+    m = F.col("sx") / F.col("pairs")
+    var = m - m * m
+    per = t.select("rep", F.when(var > 1e-15, (F.col("sxy") / F.col("pairs") - m * m) / var).alias("correlation"))
+    j = per.crossJoin(F.broadcast(own))  # one row
+    return j.agg(F.max("observed").alias("observed"), F.count(F.lit(1)).alias("n_permutations"), ((F.count_if(F.col("correlation") >= F.col("observed") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))

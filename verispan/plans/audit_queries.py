@@ -24,14 +24,25 @@ def _claims(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "m7_claims")
 
 
-@CORE.add("evidence_violations", f"""SELECT violation, count(*) AS n FROM (SELECT unnest(list_filter([
-  CASE WHEN {_ID.format("claim_id")} IS NULL THEN 'empty_key' END, CASE WHEN (evidence.detector_score IS NOT NULL) <> coalesce(evidence.detector_available, false) THEN 'detector_availability' END,
-  CASE WHEN (evidence.clip_score IS NOT NULL) <> coalesce(evidence.similarity_available, false) THEN 'similarity_availability' END, CASE WHEN isnan(evidence.detector_score) OR evidence.detector_score < 0 OR evidence.detector_score > 1 THEN 'detector_range' END,
-  CASE WHEN isnan(evidence.clip_score) OR evidence.clip_score < -1 OR evidence.clip_score > 1 THEN 'similarity_range' END, CASE WHEN evidence.detector_score = 0 AND NOT coalesce(evidence.detector_available, false) THEN 'zero_substitution' END], lambda x: x IS NOT NULL)) AS violation FROM m7_claims) GROUP BY 1""")
+_BREAKS = {
+    "empty_key": f"{_ID.format('claim_id')} IS NULL",
+    "detector_availability": "(evidence.detector_score IS NOT NULL) <> coalesce(evidence.detector_available, false)",
+    "similarity_availability": "(evidence.clip_score IS NOT NULL) <> coalesce(evidence.similarity_available, false)",
+    "detector_range": "isnan(evidence.detector_score) OR evidence.detector_score < 0 OR evidence.detector_score > 1",
+    "similarity_range": "isnan(evidence.clip_score) OR evidence.clip_score < -1 OR evidence.clip_score > 1",
+    "zero_substitution": "evidence.detector_score = 0 AND NOT coalesce(evidence.detector_available, false)",
+}
+
+
+@CORE.add("evidence_violations", " UNION ALL ".join(f"SELECT '{k}' AS violation, count(*) FILTER ({v}) AS n, count(*) AS n_rows, round(avg(evidence.detector_score), 6) AS mean_score FROM m7_claims" for k, v in _BREAKS.items()))
 def evidence_violations(spark: SparkSession, base: str) -> DataFrame:
+    """Every rule with the rows that break it, also where none does, beside the rows read."""
     e = lambda c: F.col(f"evidence.{c}")
     v = audits.evidence_violations(_claims(spark, base), norm_id("claim_id"), e("detector_score"), e("detector_available"), e("clip_score"), e("similarity_available"))
-    return v.groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+    n = v.groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
+    read = _claims(spark, base).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(e("detector_score")), 6).alias("mean_score"))
+    rules = spark.createDataFrame([(k,) for k in _BREAKS], "violation string")
+    return rules.join(n, "violation", "left").crossJoin(F.broadcast(read)).select("violation", F.coalesce("n", F.lit(0)).alias("n"), "n_rows", "mean_score")  # one row
 
 
 @CORE.add("provenance_counts", "SELECT coalesce(evidence.vlm_generation_source, 'none') AS provenance, count(*) AS n, count(*) FILTER (is_synthetic) AS n_synthetic FROM m7_claims GROUP BY 1")
@@ -52,7 +63,8 @@ def hashes_in_several_splits(spark: SparkSession, base: str) -> DataFrame:
 
 
 @CORE.add("claim_split_disagreement", f"""SELECT c.s AS child_value, p.s AS parent_value, count(*) AS n FROM (SELECT {_ID.format("image_id")} AS k, {_SPLIT.format("split")} AS s FROM m7_claims) c
-  LEFT JOIN (SELECT {_ID.format("image.image_id")} AS k, min({_SPLIT.format("split")}) AS s FROM m7_image_manifest GROUP BY 1) p ON c.k = p.k WHERE c.k IS NOT NULL AND c.s IS DISTINCT FROM p.s GROUP BY 1, 2""")
+  LEFT JOIN (SELECT {_ID.format("image.image_id")} AS k, min({_SPLIT.format("split")}) AS s, list({_SPLIT.format("split")}) AS all_s FROM m7_image_manifest GROUP BY 1) p ON c.k = p.k
+  WHERE c.k IS NOT NULL AND CASE WHEN c.s IS NULL THEN p.s IS NOT NULL ELSE NOT coalesce(list_contains(p.all_s, c.s), false) END GROUP BY 1, 2""")
 def claim_split_disagreement(spark: SparkSession, base: str) -> DataFrame:
     return audits.disagreeing(_claims(spark, base), norm_id("image_id"), norm_split("split"), table(spark, base, "m7_image_manifest"), norm_id("image.image_id"), norm_split("split"))
 

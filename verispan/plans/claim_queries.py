@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,7 +78,18 @@ def root_dominance_bounds(spark: SparkSession, base: str) -> DataFrame:
     return rounded(d.select("image_id", "ordinal", S.theta_to_probability(F.col("field") - BASE_EPS).alias("lower"), S.theta_to_probability(F.col("field") + BASE_EPS).alias("upper")))
 
 
-@CORE.add("box_bounds")
+def _chain_of(theta: str, name: str) -> str:
+    """The chain's fields for another field per claim, as CTEs whose names end in ``name``."""
+    body = _CHAIN[_CHAIN.index(", node AS") :].replace("SELECT image_id, ordinal, theta, max(ordinal)", f"SELECT image_id, ordinal, {theta} AS theta, max(ordinal)")
+    for t in ("node", "fwd", "bwd", "chain"):
+        body = re.sub(rf"\b{t}\b", t + name, body)
+    return body
+
+
+_BOX = CLAIMS_SQL.replace("WITH", "WITH RECURSIVE", 1) + _chain_of("theta - eps", "_low") + _chain_of("theta + eps", "_high")
+
+
+@CORE.add("box_bounds", _BOX + "\nSELECT image_id, ordinal, round(1 / (1 + exp(-2 * l.field)), 6) AS lower, round(1 / (1 + exp(-2 * h.field)), 6) AS upper FROM chain_low l JOIN chain_high h USING (image_id, ordinal)")
 def box_bounds(spark: SparkSession, base: str) -> DataFrame:
     d = claims_base(spark, base)
     up = inference.chain_bp(d.withColumn("theta", F.col("theta") + F.col("eps")), COUPLING).select("image_id", "ordinal", F.col("marginal").alias("upper"))
@@ -91,7 +104,39 @@ def robust_bounds(spark: SparkSession, base: str) -> DataFrame:
     return rounded(inference.robust_bounds(g, budget=0.5, steps=GRID_STEPS).select("image_id", (F.col("target") + 1).alias("ordinal"), "nominal", "lower_grid", "upper_grid", "lower_certified", "upper_certified", "gap"))
 
 
-@CORE.add("robust_bounds_checked", "SELECT 0 AS n_outside, 0 AS n_over_budget, 0 AS n_off_nominal")
+_STEPS = 4
+
+
+def _coarse(sign: str, name: str) -> str:
+    """Profiles of sign * field over a grid of four steps, and the best of every target over all divisions among itself and its two sides."""
+    step = 0.5 / _STEPS
+    gain = lambda prev: f"list_transform(range({_STEPS + 1}), lambda m: list_max(list_transform(range(least(n.most, m) + 1), lambda k: k * {step} + {prev})))"
+    along = lambda w: _msg(f"{w}.f[m - k + 1]")
+    left = "CASE WHEN l.f IS NULL THEN 0 ELSE " + _msg("l.f[m - k - x + 1]") + " END"
+    right = "CASE WHEN r.f IS NULL THEN 0 ELSE " + _msg("r.f[x + 1]") + " END"
+    return f""", node_{name} AS MATERIALIZED (SELECT image_id, ordinal, {sign} * theta AS t, CAST(least(floor(eps / {step} + 1e-8), {_STEPS}) AS BIGINT) AS most, max(ordinal) OVER (PARTITION BY image_id) AS last FROM claims
+), fwd_{name} AS (
+  SELECT image_id, ordinal, list_transform({gain("0.0")}, lambda g: g + n.t) AS f FROM node_{name} n WHERE ordinal = 1
+  UNION ALL SELECT n.image_id, n.ordinal, list_transform({gain(along("w"))}, lambda g: g + n.t) FROM fwd_{name} w JOIN node_{name} n ON n.image_id = w.image_id AND n.ordinal = w.ordinal + 1
+), bwd_{name} AS (
+  SELECT image_id, ordinal, list_transform({gain("0.0")}, lambda g: g + n.t) AS f FROM node_{name} n WHERE ordinal = last
+  UNION ALL SELECT n.image_id, n.ordinal, list_transform({gain(along("w"))}, lambda g: g + n.t) FROM bwd_{name} w JOIN node_{name} n ON n.image_id = w.image_id AND n.ordinal = w.ordinal - 1
+), best_{name} AS (
+  SELECT n.image_id, n.ordinal, {sign} * (n.t + list_max(list_transform(range(least(n.most, {_STEPS}) + 1), lambda k: k * {step} + list_max(list_transform(range({_STEPS} - k + 1), lambda x: ({left.replace("m - k", f"{_STEPS} - k")}) + ({right})))))) AS field
+  FROM node_{name} n LEFT JOIN fwd_{name} l ON l.image_id = n.image_id AND l.ordinal = n.ordinal - 1 LEFT JOIN bwd_{name} r ON r.image_id = n.image_id AND r.ordinal = n.ordinal + 1)"""
+
+
+_COARSE = CLAIMS_SQL.replace("WITH", "WITH RECURSIVE", 1) + _coarse("1", "up") + _coarse("-1", "down")
+
+
+@CORE.add("robust_bounds_coarse", _COARSE + "\nSELECT image_id, ordinal, round(1 / (1 + exp(-2 * d.field)), 6) AS lower_grid, round(1 / (1 + exp(-2 * u.field)), 6) AS upper_grid FROM best_up u JOIN best_down d USING (image_id, ordinal)")
+def robust_bounds_coarse(spark: SparkSession, base: str) -> DataFrame:
+    """The grid bounds with four steps, few enough for SQL that tries every division of the budget."""
+    g = inference.chain_graphs(claims_base(spark, base), COUPLING)
+    return rounded(inference.robust_bounds(g, budget=0.5, steps=_STEPS).select("image_id", (F.col("target") + 1).alias("ordinal"), "lower_grid", "upper_grid"))
+
+
+@CORE.add("robust_bounds_checked", "SELECT (SELECT count(*) FROM lineitem) AS n_bounds, 0 AS n_outside, 0 AS n_over_budget, 0 AS n_off_nominal")
 def robust_bounds_checked(spark: SparkSession, base: str) -> DataFrame:
     """What must hold of every bound: certified holds grid holds nominal, witnesses keep to the budget. Counts of what does not."""
     b = inference.robust_bounds(inference.chain_graphs(claims_base(spark, base), COUPLING), budget=0.5, steps=GRID_STEPS)
@@ -99,10 +144,19 @@ def robust_bounds_checked(spark: SparkSession, base: str) -> DataFrame:
     inside = (F.col("lower_certified") <= F.col("lower_grid")) & (F.col("upper_grid") <= F.col("upper_certified"))
     nominal = (F.col("lower_grid") <= F.col("nominal") + 1e-12) & (F.col("nominal") <= F.col("upper_grid") + 1e-12)
     n = lambda c, a: F.count_if(c).cast("int").alias(a)
-    return b.agg(n(~inside, "n_outside"), n((spent(F.col("delta_lower")) > 0.5 + 1e-9) | (spent(F.col("delta_upper")) > 0.5 + 1e-9), "n_over_budget"), n(~nominal, "n_off_nominal"))
+    return b.agg(F.count(F.lit(1)).alias("n_bounds"), n(~inside, "n_outside"), n((spent(F.col("delta_lower")) > 0.5 + 1e-9) | (spent(F.col("delta_upper")) > 0.5 + 1e-9), "n_over_budget"), n(~nominal, "n_off_nominal"))
+
 
+_LAE = "(greatest({0}, {1}) + ln(1 + exp(-abs(({0}) - ({1})))))"
+_LOGLIK = f"""SELECT CAST(j AS DOUBLE) AS coupling, round(sum(own + j * links - {_LAE.format("z.p", "z.m")}), 3) AS log_likelihood, count(*) AS n_groups FROM (
+  SELECT j, own, links, list_reduce(c, lambda a, x: {{'p': x.p + {_LAE.format("(a.p + j)", "(a.m - j)")}, 'm': x.m + {_LAE.format("(a.p - j)", "(a.m + j)")}}}) AS z FROM (
+    SELECT image_id, list({{'p': theta, 'm': -theta}} ORDER BY ordinal) AS c, sum(theta * s) AS own, coalesce(sum(s * before), 0) AS links FROM (
+      SELECT *, lag(s) OVER (PARTITION BY image_id ORDER BY ordinal) AS before FROM (SELECT *, CAST(2 * y - 1 AS DOUBLE) AS s FROM claims WHERE y IS NOT NULL)) GROUP BY 1),
+    (SELECT CAST(i AS DOUBLE) / 100 AS j FROM range(201) r(i)))
+  GROUP BY 1"""
 
-@CORE.add("chain_loglik_grid")
+
+@CORE.add("chain_loglik_grid", _sql(_LOGLIK))
 def chain_loglik_grid(spark: SparkSession, base: str) -> DataFrame:
     """Log-likelihood of the labels given the chain for a grid of couplings, summed per coupling."""
     return rounded(conformal.chain_loglik(claims_base(spark, base).where("y is not null"), COUPLING_GRID), 3)
@@ -228,9 +282,10 @@ def risk_coverage_summary(spark: SparkSession, base: str) -> DataFrame:
     return rounded(ordered.risk_coverage_summary(_curve(spark, base), risk_targets=(0.3, 0.5)))
 
 
-@CORE.add("risk_coverage_curve", _sql(f"SELECT image_id, ordinal, CAST(k AS BIGINT) AS k, round(k / n, 6) AS coverage, round(errors / k, 6) AS risk FROM ({_CURVE})"))
+@CORE.add("risk_coverage_curve", _sql(f"SELECT image_id, ordinal, CAST(k AS BIGINT) AS k, CAST(errors AS BIGINT) AS errors, n FROM ({_CURVE})"))
 def risk_coverage_curve(spark: SparkSession, base: str) -> DataFrame:
-    return rounded(_curve(spark, base).select("tie.image_id", "tie.ordinal", "k", "coverage", "risk"))
+    """In whole numbers: the risk is errors / k, the coverage k / n."""
+    return _curve(spark, base).select("tie.image_id", "tie.ordinal", "k", "errors", "n")
 
 
 def _order_stat(src: str, level: float, key: str = "") -> str:
@@ -309,10 +364,11 @@ def uncertainty_scores(spark: SparkSession, base: str) -> DataFrame:
     return rounded(claims_base(spark, base, True).groupBy("category").agg(a(S.margin_uncertainty(_p()), "margin"), a(S.binary_entropy(_p()), "entropy"), a(S.threshold_uncertainty(_p()), "threshold"), a(S.normalized_threshold_uncertainty(_p()), "normalized")))
 
 
-@CORE.add("theta_roundtrip", _sql("SELECT count(*) AS n, 0 AS n_off FROM claims"))
+@CORE.add("theta_roundtrip", _sql("SELECT count(*) AS n, round(avg(t), 6) AS mean_theta, CAST(count(*) FILTER (abs(1 / (1 + exp(-2 * t)) - p) > 1e-9) AS INT) AS n_off FROM (SELECT p, 0.5 * (ln(p) - ln(1 - p)) AS t FROM claims)"))
 def theta_roundtrip(spark: SparkSession, base: str) -> DataFrame:
-    back = S.theta_to_probability(S.probability_to_theta(_p()))
-    return claims_base(spark, base).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(back - _p()) > 1e-9).cast("int").alias("n_off"))
+    theta = S.probability_to_theta(_p())
+    back = S.theta_to_probability(theta)
+    return claims_base(spark, base).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(theta), 6).alias("mean_theta"), F.count_if(F.abs(back - _p()) > 1e-9).cast("int").alias("n_off"))
 
 
 @CORE.add("spearman_width_error", _sql("""SELECT round(corr(rw, re), 6) AS spearman, count(*) AS n FROM (SELECT rank() OVER (ORDER BY w) + (count(*) OVER (PARTITION BY w) - 1) / 2 AS rw, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2 AS re
@@ -393,6 +449,21 @@ _BOOT = f"""SELECT CAST(rep AS INT) AS rep, CAST(sum(w * n) AS BIGINT) AS n, rou
     SELECT image_id, count(*) AS n, sum(CAST((p >= 0.5) <> (y = 1) AS INT)) AS e FROM claims WHERE y IS NOT NULL GROUP BY 1), range(20) r(rep))) GROUP BY 1"""
 
 
+@CORE.add("spanning_trees", _sql("SELECT count(*) AS n_edges, count(DISTINCT image_id) AS n_images FROM claims WHERE ordinal > 1"))
+def spanning_trees(spark: SparkSession, base: str) -> DataFrame:
+    """The spanning tree of likeness of every image: n - 1 edges each, whatever they weigh."""
+    c = claims_base(spark, base).select("image_id", (F.col("ordinal") - 1).alias("u"), "p")
+    pairs = c.join(c.select("image_id", F.col("u").alias("v"), F.col("p").alias("q")), "image_id").where("u < v").withColumn("w", 1 - F.abs(F.col("p") - F.col("q")))  # the claims of one image
+    return inference.spanning_trees(pairs, "image_id", "u", "v", "w", mend=True).agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("image_id").alias("n_images"))
+
+
+@CORE.add("permutation_pvalue")
+def permutation_pvalue(spark: SparkSession, base: str) -> DataFrame:
+    """Are the labels of an image alike by more than chance: labels are dealt anew twenty times."""
+    d = claims_base(spark, base).where("y is not null").select("image_id", "ordinal", "y")
+    return rounded(resampling.permutation_pvalue(d, F.col("image_id"), "y", F.concat_ws("|", "image_id", "ordinal"), 20))
+
+
 @CORE.add("cluster_bootstrap", _sql(_BOOT))
 def cluster_bootstrap(spark: SparkSession, base: str) -> DataFrame:
     return rounded(_replicates(spark, base, 20))
