@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verispan.operators.ordered import join_keys, quantiles, running
+from verispan.operators.ordered import correlation, join_keys, quantiles, running
 
 
 def epsilon_by_category(df: DataFrame, residual: Column, category: str, level: float, least_n: int = 5) -> DataFrame:
@@ -50,7 +50,7 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation of average ranks; ranks are found per distinct value and joined back."""
     d = df.join(average_rank(df, a, "_ra"), a).join(average_rank(df, b, "_rb"), b)
-    return d.agg(F.corr("_ra", "_rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return d.agg(correlation(F.col("_ra"), F.col("_rb")).alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def chain_loglik(df: DataFrame, couplings: Sequence[float], group: str = "image_id", order: str = "ordinal", theta: str = "theta", label: str = "y") -> DataFrame:

@@ -13,13 +13,13 @@ from verispan.functions import scalar as S
 from verispan.kernels import tree
 
 
-def chain_fields(theta: Column, coupling: float) -> Column:
+def chain_fields(theta: Column, coupling: float | Column) -> Column:
     """Total field of every node of a chain: two passes over the array of fields, in the JVM.
 
     theta: array<double> in chain order. The result has the same length; an empty
     array gives an empty one, null gives null.
     """
-    j = F.lit(coupling)
+    j = coupling if isinstance(coupling, Column) else F.lit(coupling)
     empty = F.array().cast("array<double>")
 
     def sweep(x: Column) -> Column:
@@ -44,6 +44,22 @@ def _is_chain(edges) -> bool:
     return all(e["u"] == i and e["v"] == i + 1 for i, e in enumerate(edges))
 
 
+def star_fields(theta: Column, coupling: float) -> Column:
+    """Total field of every node of a star around the first one, from an array of fields; null gives null."""
+    j = F.lit(coupling)
+    told = F.transform(theta, lambda t, i: F.when(i == 0, 0.0).otherwise(S.edge_message(j, t)))
+    centre = F.get(theta, F.lit(0)) + F.aggregate(told, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(F.arrays_zip(theta.alias("t"), told.alias("m")), lambda x, i: F.when(i == 0, centre).otherwise(x["t"] + S.edge_message(j, centre - x["m"])))
+
+
+def star_bp(claims: DataFrame, coupling: float, group: str = "image_id", order: str = "ordinal", theta: str = "theta") -> DataFrame:
+    """As chain_bp, on a star around the first claim of each group."""
+    g = claims.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(theta).alias("t")))).alias("_c"))
+    g = g.withColumn("_t", F.transform("_c", lambda x: x["t"]))
+    out = g.select(group, F.inline(F.arrays_zip(F.transform("_c", lambda x: x["o"]).alias("o"), star_fields(F.col("_t"), coupling).alias("f"))))
+    return out.select(group, F.col("o").alias(order), F.col("f").alias("field"), S.theta_to_probability(F.col("f")).alias("marginal"))
+
+
 def robust_bounds(graphs: DataFrame, budget: float, steps: int = 100, targets: str = "all") -> DataFrame:
     """Worst-case posterior bounds under |d_i| <= eps_i, sum |d_i| <= budget for every node of every graph.
 

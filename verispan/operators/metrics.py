@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verispan.operators.ordered import join_keys, quantiles
+from verispan.operators.ordered import correlation, join_keys, quantiles
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -88,7 +88,7 @@ def interval_statistics(df: DataFrame, lower: Column, upper: Column, truth: Colu
     g = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(w).alias("mean_width"), F.stddev_pop(w).alias("std_width"), F.min(w).alias("min_width"), F.max(w).alias("max_width"),
         F.avg(((l < tau) & (u > tau)).cast("double")).alias("crossing_strict"), F.avg(((l <= tau) & (u >= tau)).cast("double")).alias("crossing_inclusive"),
-        F.avg(F.when(y == 1, w)).alias("mean_width_hallucinated"), F.avg(F.when(y == 0, w)).alias("mean_width_supported"), F.corr(w, err).alias("width_error_pearson"),
+        F.avg(F.when(y == 1, w)).alias("mean_width_hallucinated"), F.avg(F.when(y == 0, w)).alias("mean_width_supported"), correlation(w, err).alias("width_error_pearson"),
     )
     return join_keys(g, quantiles(d, w, {f"p{round(q * 100)}_width": q for q in (0.25, 0.5, 0.75, 0.9)}, keys).drop("n"), keys)
 

@@ -38,6 +38,13 @@ def running(df: DataFrame, order: Sequence[Column], sums: dict[str, Column], key
     return j.select(*df.columns, *((F.sum(f"_v_{n}").over(inside) + F.col(f"_o_{n}")).alias(n) for n in sums), *(f"{n}_total" for n in sums))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of the rows where neither is null; null where one of them is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on keys where null equals null; without keys b is one row."""
     if not keys:

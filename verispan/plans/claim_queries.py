@@ -382,7 +382,8 @@ def spearman_width_error(spark: SparkSession, base: str) -> DataFrame:
   SELECT upper - lower AS w, abs((lower + upper) / 2 - y) AS e, -(p * log2(p) + (1 - p) * log2(1 - p)) AS h FROM claims WHERE y IS NOT NULL)"""))
 def conditional_width(spark: SparkSession, base: str) -> DataFrame:
     d = claims_base(spark, base).where("y is not null").select((F.col("upper") - F.col("lower")).alias("w"), F.abs((F.col("lower") + F.col("upper")) / 2 - _y()).alias("e"), S.binary_entropy(_p()).alias("h"))
-    return rounded(d.agg(F.corr("w", "e").alias("pearson"), F.regr_slope("w", "h").alias("slope"), F.regr_intercept("w", "h").alias("intercept"), F.count(F.lit(1)).alias("n")))
+    slope = F.try_divide(F.covar_pop("w", "h"), F.var_pop("h"))
+    return rounded(d.agg(ordered.correlation(F.col("w"), F.col("e")).alias("pearson"), slope.alias("slope"), (F.avg("w") - slope * F.avg("h")).alias("intercept"), F.count(F.lit(1)).alias("n")))
 
 
 _CASES = """SELECT category, arg_min(image_id, (round(upper - lower, 9), image_id, ordinal)) AS narrowest_image, arg_min(ordinal, (round(upper - lower, 9), image_id, ordinal)) AS narrowest_ordinal,
