@@ -116,11 +116,15 @@ def spanning_trees(pairs: DataFrame, group: str, u: str, v: str, weight: str, me
     """The maximum spanning tree (or forest) of each group's weighted edges: group, u, v, weight. Ties go to the smaller (u, v). mend joins the parts of nodes 0..max to one tree by edges (i, i + 1) of weight 0.5."""
     key = dict(pairs.dtypes)[group]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(zip(pdf["u"], pdf["v"], pdf["w"]))
-        nodes = int(max(pdf["u"].max(), pdf["v"].max())) + 1 if mend else 0
-        e = tree.maximum_spanning_tree(pairs, nodes)
-        return pd.DataFrame([(pdf["g"].iloc[0], *x) for x in e], columns=["g", "u", "v", "w"])
-
-    d = pairs.select(F.col(group).alias("g"), F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"), F.col(weight).cast("double").alias("w"))
-    return d.groupBy("g").applyInPandas(run, f"g {key}, u long, v long, w double").toDF(group, u, v, weight)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for g, e in zip(pdf["g"], pdf["e"]):
+                some = [(x["u"], x["v"], x["w"]) for x in e]
+                nodes = int(max(max(a, b) for a, b, _ in some)) + 1 if mend else 0
+                out += [(g, *x) for x in tree.maximum_spanning_tree(some, nodes)]
+            yield pd.DataFrame(out, columns=["g", "u", "v", "w"])
+
+    d = pairs.select(F.col(group).alias("g"), F.struct(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"), F.col(weight).cast("double").alias("w")).alias("e"))
+    packed = d.groupBy("g").agg(F.collect_list("e").alias("e"))  # the edges of one group, which is one small graph
+    return packed.mapInPandas(run, f"g {key}, u long, v long, w double").toDF(group, u, v, weight)

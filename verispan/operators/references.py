@@ -115,16 +115,29 @@ def orphan_report(refs: Sequence[Reference]) -> DataFrame:
 
     Columns: child_table, period, n_rows, n_null_ref, n_missing, n_deleted,
     n_late. Every row counts by its own time, repeated rows included; a row
-    with a null time falls in the period ``none``. Only rows whose key is suspect
-    are joined; the totals are summed without a join. Lateness is judged per row.
+    with a null time falls in the period ``none``. Lateness is judged per row.
+
+    Child rows are counted per (key, period) on the map side before they meet the
+    parents in one grouping by key, which keeps the counts of the few periods of
+    a key: an orphan key with a third of all rows is a handful of counts there.
+    Rows are looked at again only for the keys whose parent came after a child.
     """
-    rows = _children(refs).select("_child_table", "_parent_table", "_key", F.coalesce(F.date_format("_child_time", "yyyy-MM"), F.lit("none")).alias("_period"), F.col("_child_time").alias("_first_seen"))
+    period = F.coalesce(F.date_format("_child_time", "yyyy-MM"), F.lit("none"))
+    rows = _children(refs).select("_child_table", "_parent_table", "_key", period.alias("_period"), "_child_time")
+    counted = rows.groupBy("_child_table", "_parent_table", "_key", "_period").agg(F.count(F.lit(1)).alias("_n"), F.min("_child_time").alias("_first"))
     table_period = (F.col("_child_table").alias("child_table"), F.col("_period").alias("period"))
-    totals = rows.groupBy(*table_period).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("_key").isNull()).alias("n_null_ref"))
-    some = rows.where(F.col("_key").isNotNull())
-    bad = some.join(_suspects(some, refs), ["_parent_table", "_key"]).withColumn("_kind", _kind())
+    totals = counted.groupBy(*table_period).agg(F.sum("_n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("_key").isNull(), F.col("_n"))), F.lit(0)).alias("n_null_ref"))
+    child = counted.where(F.col("_key").isNotNull()).select("_parent_table", "_key", F.struct("_child_table", "_period", "_n").alias("_c"), "_first", F.lit(None).cast("timestamp").alias("_parent_time"), F.lit(None).cast("boolean").alias("_deleted"))
+    parent = _parents(refs).groupBy("_parent_table", "_key").agg(F.min("_parent_time").alias("_parent_time"), F.bool_and(F.coalesce("_deleted", F.lit(False))).alias("_deleted"))
+    parent = parent.select("_parent_table", "_key", F.lit(None).cast(child.schema["_c"].dataType).alias("_c"), F.lit(None).cast("timestamp").alias("_first"), "_parent_time", "_deleted")
+    keyed = child.unionByName(parent).groupBy("_parent_table", "_key").agg(F.collect_list("_c").alias("_cs"), F.min("_first").alias("_first"), F.min("_parent_time").alias("_parent_time"), F.max("_deleted").alias("_deleted"))  # a count per period and child table of one key
+    kind = F.when(F.col("_deleted").isNull(), "missing").when(F.col("_deleted"), "deleted").when(F.col("_parent_time") > F.col("_first"), "late")
+    bad = keyed.where(F.size("_cs") > 0).withColumn("_kind", kind).where(F.col("_kind").isNotNull())
+    gone = bad.where("_kind != 'late'").select("_kind", F.inline("_cs")).select("_child_table", "_period", "_kind", "_n")
+    after = bad.where("_kind = 'late'").select("_parent_table", "_key", "_parent_time")
+    late = rows.join(after, ["_parent_table", "_key"]).where(F.col("_parent_time") > F.col("_child_time")).groupBy("_child_table", "_period").agg(F.lit("late").alias("_kind"), F.count(F.lit(1)).alias("_n"))
     kinds = ("missing", "deleted", "late")
-    counts = bad.groupBy(*table_period).agg(*(F.count_if(F.col("_kind") == k).alias(f"n_{k}") for k in kinds))
+    counts = gone.unionByName(late).groupBy(*table_period).agg(*(F.sum(F.when(F.col("_kind") == k, F.col("_n"))).alias(f"n_{k}") for k in kinds))
     return totals.join(counts, ["child_table", "period"], "left").select(
         "child_table", "period", "n_rows", "n_null_ref", *(F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in kinds)
     )

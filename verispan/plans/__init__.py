@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("reference_queries", "claim_queries", "audit_queries", "text_queries", "dataset_queries", "study_queries")
+_MODULES = ("reference_queries", "claim_queries", "audit_queries", "text_queries", "dataset_queries", "study_queries", "source_queries")
 
 
 def core_registry():

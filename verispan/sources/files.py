@@ -42,7 +42,7 @@ def read_yes_no(spark: SparkSession, path: str) -> DataFrame:
     need = lambda c: F.when(F.col(c).isNull() | (F.trim(c) == ""), F.raise_error(F.lit(f"a question lacks {c}")).cast("string")).otherwise(F.col(c))
     label = F.lower(F.trim(need("label")))
     status = F.when(label == "yes", "supported").when(label == "no", "hallucinated").otherwise("unknown")
-    named = F.lower(F.regexp_extract(need("text"), r"(?i)^(?:is|are) there (?:an?|the|any)?\s*(.+?) (?:in|on) (?:the|this) (?:image|picture|photo)\b", 1))
+    named = F.lower(F.regexp_extract(need("text"), r"(?i)^(?:is|are) there (?:(?:an?|the|any)\s+)?(.+?) (?:in|on) (?:the|this) (?:image|picture|photo)\b", 1))
     kind = F.coalesce("variant", *(F.when(F.input_file_name().contains(v), F.lit(v)) for v in ("adversarial", "popular", "random")))
     return d.select("question_id", coco_id_of(need("image")).alias("image_id"), F.coalesce("category", F.when(named != "", named)).alias("object_category"), status.alias("status"), kind.alias("variant"))
 
