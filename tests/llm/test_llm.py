@@ -25,6 +25,7 @@ def test_same_look_pairs(spark):
     docs = spark.createDataFrame([(1, "abc", "x"), (2, "аbc", "x"), (3, "abc", "x"), (4, None, "x"), (5, "", "x"), (6, "abC", "x"), (2, "аbc", "x")], "doc_id long, text string, _canon string")
     assert {tuple(r) for r in lookalike.same_look_pairs(docs).collect()} == {(1, 2), (2, 3)}
     assert lookalike.same_look_pairs(docs.limit(0)).count() == 0
+    assert {tuple(r) for r in lookalike.same_look_classes(docs).collect()} == {(1, 1, 2), (2, 1, 2), (3, 1, 2)}
 
 
 # --- passages
@@ -115,6 +116,11 @@ def test_components_of_chains_hubs_and_nulls(spark):
     g = components.related_groups(df, F.col("id"), [("h", F.col("h")), ("c", F.col("c"))], salts=4)
     got = {(x.component, x.node) for x in g.collect() if x.node != x.component and not x.node.startswith(components.NO_ID)}
     assert got == want
+    links = components.star_links(components.record_keys(df, F.col("id"), [("h", F.col("h")), ("c", F.col("c"))]), 4)
+    plain, shipped = ({tuple(x) for x in components.hash_to_min(links, hot=h)[0].collect()} for h in (100_000, 5))
+    assert plain == shipped
+    with pytest.raises(RuntimeError, match="raise hot"):
+        components.hash_to_min(links, hot=5, most_hot=0)
     s = components.assign_splits(df, F.col("id"), [("h", F.col("h")), ("c", F.col("c"))], [("train", 0.6), ("test", 0.4), ("none", 0.0)]).collect()
     assert len(s) == 601 and {x.split for x in s} <= {"train", "test"} and len({(x.component, x.split) for x in s}) == len({x.component for x in s})
     assert components.related_groups(df.limit(0), F.col("id"), [("h", F.col("h"))]).count() == 0
@@ -236,6 +242,12 @@ def test_overlap_equals_brute_force(spark):
     links = overlap.cross_split_links(df, F.col("record"), F.col("split"), F.col("key"), F.col("text"))
     assert {tuple(x) for x in overlap.overlap_pairs(links).collect()} == want
     assert overlap.cross_split_links(df.limit(0), F.col("record"), F.col("split"), F.col("key"), F.col("text")).count() == 0
+    # the report, which makes no pairs, tells of the same records
+    rep = {x.split: x for x in overlap.overlap_report(df.withColumn("n", F.lit(1)), F.col("record"), F.col("split"), F.col("key"), F.col("text"), F.lit(None).cast("string")).collect()}
+    l = links.collect()
+    for sp in ("test", "validation"):
+        own = {a for a, s2, _, _ in rows if a and s2 == sp}
+        assert rep[sp].n_records == len(own) and rep[sp].n_overlapping == len(own & {x.record_eval for x in l})
 
 
 def test_overlap_finds_every_edit_and_order(spark):

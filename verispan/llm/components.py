@@ -34,26 +34,37 @@ def star_links(keyed: DataFrame, salts: int = 64) -> DataFrame:
     return low.unionByName(high).where("a != b").distinct()
 
 
-def hash_to_min(links: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, int]:
+def hash_to_min(links: DataFrame, max_rounds: int = 60, hot: int = 100_000, most_hot: int = 100_000) -> tuple[DataFrame, int]:
     """Connected components of the links: (node, component), component being the least node, itself included.
 
     Every round is written to the shared checkpoint folder. Rounds grow with the
     logarithm of the longest path. Nodes without links are not in the result.
+    The rows of a node with more than ``hot`` of them stay where they are and get
+    its least node by broadcast; there are at most rows / hot such nodes, and more
+    than ``most_hot`` of them are an error, not a larger broadcast.
     """
     a, b = F.col("a"), F.col("b")
     both = links.select(a.alias("v"), b.alias("u")).unionByName(links.select(b.alias("v"), a.alias("u")))
     own = both.select("v", F.col("v").alias("u"))
     state = cut(both.unionByName(own).distinct())
-    seal = None
+    seal, rows = None, state.count()
     for rounds in range(1, max_rounds + 1):
-        least = state.groupBy("v").agg(F.min("u").alias("m"))
-        sent = state.join(least, "v")
+        least = state.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
+        # a node with very many rows (the least one of a giant component) is not joined by its key: its least node is shipped instead
+        big = least.where(F.col("n") > hot).select("v", "m").limit(most_hot + 1).collect() if rows > hot else []
+        if len(big) > most_hot:
+            raise RuntimeError(f"more than {most_hot} nodes have over {hot} rows: raise hot")
+        if big:
+            shipped = F.broadcast(links.sparkSession.createDataFrame([(r.v, r.m) for r in big], "v string, m string"))
+            sent = state.join(least.where(F.col("n") <= hot).select("v", "m"), "v").unionByName(state.join(shipped, "v"))
+        else:
+            sent = state.join(least.select("v", "m"), "v")
         to_least = sent.select(F.col("m").alias("v"), "u")
         to_members = sent.select(F.col("u").alias("v"), F.col("m").alias("u"))
         new = cut(to_least.unionByName(to_members).distinct())
         # the same rows twice running: nothing is sent that is not known
         now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        state = new
+        state, rows = new, now[0]
         if now == seal:
             return state.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node"), rounds
         seal = now

@@ -148,6 +148,17 @@ def canonical_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return d.select(F.col("_id").alias(id_col), *([F.col("_text").alias(text_col)] if keep_text else []), F.col("_new").alias(out_col))
 
 
+def same_look_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document of a look with two or more stored variants: id, class_id (the least id of the look), n_variants.
+
+    As many rows as documents, however often a text is repeated: variants are
+    counted over distinct (look, variant) rows, combined on the map side.
+    """
+    forms = cut(canonical_forms(docs, id_col, text_col).select("_id", "_canon", "_stored").distinct())
+    looks = forms.groupBy("_canon", "_stored").agg(F.min("_id").alias("_low")).groupBy("_canon").agg(F.min("_low").alias("class_id"), F.count(F.lit(1)).alias("n_variants")).where("n_variants > 1")
+    return forms.join(looks, "_canon").select(F.col("_id").alias(id_col), "class_id", "n_variants")
+
+
 def same_look_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All pairs (doc_id_a < doc_id_b) that read the same but are stored differently.
 

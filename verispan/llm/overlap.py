@@ -143,6 +143,17 @@ def text_pairs(texts: DataFrame, similarity: float = 0.75) -> DataFrame:
     return hits.join(e, "e").join(t, "t").where(both >= F.lit(similarity) * (F.size("e_words") + F.size("t_words") - both)).select("e", "t", (both / F.size("e_words")).alias("containment"))
 
 
+def _sides(rows: DataFrame, record: Column, split: Column, key: Column, text: Column, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(record, side, key, keys of the text) rows, and the similar pairs of distinct texts with their containment."""
+    d = rows.select(record.alias("record"), split.alias("split"), key.alias("key"), text.alias("text")).where("record is not null and split is not null")
+    d = d.withColumn("side", F.when(F.col("split") == "train", "train").otherwise("eval"))
+    thin = cut(d.select("record", "side", "key", F.xxhash64("text").alias("tk"), F.xxhash64(F.lit(1), "text").alias("tk2"), F.col("text").isNotNull().alias("has_text")).distinct())
+    texts = cut(distinct_texts(d.select("side", "text")).withColumn("id", F.monotonically_increasing_id()))
+    ids = texts.select("id", "tk", "tk2")
+    pairs = text_pairs(texts, similarity)
+    return thin, pairs.join(ids.toDF("e", "e_tk", "e_tk2"), "e").join(ids.toDF("t", "t_tk", "t_tk2"), "t").select("e_tk", "e_tk2", "t_tk", "t_tk2", "containment")
+
+
 def cross_split_links(rows: DataFrame, record: Column, split: Column, key: Column, text: Column, similarity: float = 0.75) -> DataFrame:
     """Links (record_eval, record_train, reason, containment) between records of evaluation and training splits.
 
@@ -153,18 +164,12 @@ def cross_split_links(rows: DataFrame, record: Column, split: Column, key: Colum
     greatest share of an evaluation text's words that the training text holds,
     null for the other reasons. Repeated rows count once.
     """
-    d = rows.select(record.alias("record"), split.alias("split"), key.alias("key"), text.alias("text")).where("record is not null and split is not null")
-    d = d.withColumn("side", F.when(F.col("split") == "train", "train").otherwise("eval"))
-    thin = cut(d.select("record", "side", "key", F.xxhash64("text").alias("tk"), F.xxhash64(F.lit(1), "text").alias("tk2"), F.col("text").isNotNull().alias("has_text")).distinct())
+    thin, pairs = _sides(rows, record, split, key, text, similarity)
     ev, tr = thin.where("side = 'eval'"), thin.where("side = 'train'")
     by_id = ev.select("record").distinct().join(tr.select("record").distinct(), "record", "left_semi").select(F.col("record").alias("record_eval"), F.col("record").alias("record_train"), F.lit("id").alias("reason"))
     eh = ev.where("key is not null").select("key", F.col("record").alias("record_eval")).distinct()
     th = tr.where("key is not null").select("key", F.col("record").alias("record_train")).distinct()
     by_hash = eh.join(th, "key").select("record_eval", "record_train", F.lit("hash").alias("reason")).distinct()
-    texts = cut(distinct_texts(d.select("side", "text")).withColumn("id", F.monotonically_increasing_id()))
-    pairs = text_pairs(texts, similarity)
-    ids = texts.select("id", "tk", "tk2")
-    pairs = pairs.join(ids.toDF("e", "e_tk", "e_tk2"), "e").join(ids.toDF("t", "t_tk", "t_tk2"), "t").select("e_tk", "e_tk2", "t_tk", "t_tk2", "containment")
     er = ev.where("has_text").select(F.col("tk").alias("e_tk"), F.col("tk2").alias("e_tk2"), F.col("record").alias("record_eval")).distinct()
     tt = tr.where("has_text").select(F.col("tk").alias("t_tk"), F.col("tk2").alias("t_tk2"), F.col("record").alias("record_train")).distinct()
     by_text = pairs.join(er, ["e_tk", "e_tk2"]).join(tt, ["t_tk", "t_tk2"]).groupBy("record_eval", "record_train").agg(F.lit("text").alias("reason"), F.max("containment").alias("containment"))
@@ -177,10 +182,27 @@ def overlap_pairs(links: DataFrame) -> DataFrame:
     return links.select(a.alias("image_id_a"), b.alias("image_id_b")).distinct()
 
 
-def overlap_report(links: DataFrame, rows: DataFrame, record: Column, split: Column, source: Column) -> DataFrame:
-    """Per evaluation split and source: records, those that overlap with training by each reason, and the mean over records of the greatest containment of a text."""
-    ev = rows.select(record.alias("record"), split.alias("split"), F.coalesce(source, F.lit("none")).alias("dataset_source")).where("record is not null and split is not null and split != 'train'").distinct()
-    why = links.groupBy(F.col("record_eval").alias("record")).agg(*(F.max((F.col("reason") == r).cast("int")).alias(r) for r in ("id", "hash", "text")), F.max("containment").alias("containment"))
-    j = ev.join(why, "record", "left")
+def text_classes(pairs: DataFrame) -> DataFrame:
+    """(e_tk, e_tk2, n_links, containment): every evaluation text that has similar training texts, with their number and the greatest containment; copies of a text are one."""
+    return pairs.groupBy("e_tk", "e_tk2").agg(F.count(F.lit(1)).alias("n_links"), F.max("containment").alias("containment"))
+
+
+def overlap_report(rows: DataFrame, record: Column, split: Column, key: Column, text: Column, source: Column, similarity: float = 0.75) -> DataFrame:
+    """Per evaluation split and source: records, those that overlap with training by each reason, and the mean over records of the greatest containment of a text.
+
+    Records are held against the training ids, hashes and texts that occur there,
+    each once: no pair of records is made, however many share a hash or text.
+    """
+    thin, pairs = _sides(rows, record, split, key, text, similarity)
+    ev, tr = thin.where("side = 'eval'"), thin.where("side = 'train'")
+    parts = [
+        ev.join(tr.select("record").distinct(), "record", "left_semi").select("record", F.lit("id").alias("reason"), F.lit(None).cast("double").alias("containment")),
+        ev.join(tr.where("key is not null").select("key").distinct(), "key", "left_semi").select("record", F.lit("hash").alias("reason"), F.lit(None).cast("double").alias("containment")),
+        ev.where("has_text").join(text_classes(pairs), (F.col("tk") == F.col("e_tk")) & (F.col("tk2") == F.col("e_tk2"))).select("record", F.lit("text").alias("reason"), "containment"),
+    ]
+    hits = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    why = hits.groupBy("record").agg(*(F.max((F.col("reason") == r).cast("int")).alias(r) for r in ("id", "hash", "text")), F.max("containment").alias("containment"))
+    own = rows.select(record.alias("record"), split.alias("split"), F.coalesce(source, F.lit("none")).alias("dataset_source")).where("record is not null and split is not null and split != 'train'").distinct()
+    j = own.join(why, "record", "left")
     n = lambda r: F.coalesce(F.sum(r), F.lit(0)).alias(f"n_by_{r}")
     return j.groupBy("split", "dataset_source").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("id").isNotNull()).alias("n_overlapping"), n("id"), n("hash"), n("text"), F.avg("containment").alias("mean_containment"))

@@ -73,6 +73,11 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
     return lookalike.same_look_pairs(table(spark, base, "documents"))
 
 
+@LLM.add("p8_classes", f"WITH f AS ({_LOOKS}) SELECT doc_id, min(doc_id) OVER w AS class_id, n AS n_variants FROM f JOIN (SELECT form, count(DISTINCT text) AS n FROM f GROUP BY 1 HAVING count(DISTINCT text) > 1) USING (form) WINDOW w AS (PARTITION BY form)")
+def p8_classes(spark: SparkSession, base: str) -> DataFrame:
+    return lookalike.same_look_classes(table(spark, base, "documents"))
+
+
 @LLM.add("p8_forms", f"SELECT doc_id, md5(form) AS canonical_key, form <> text AS changed, CAST(length(form) AS INT) AS canonical_length FROM ({_LOOKS})")
 def p8_forms(spark: SparkSession, base: str) -> DataFrame:
     f = lookalike.canonical_text(table(spark, base, "documents"), keep_text=True).where("text is not null and text != ''")
@@ -189,10 +194,14 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return overlap.overlap_pairs(_claim_overlaps(spark, base)[0])
 
 
-@LLM.add("p4_report")
+@LLM.add("p4_report", f"""WITH {_CLAIM_ROWS}, h AS (SELECT r, 'id' AS why, NULL AS k FROM c WHERE NOT t AND r IN (SELECT r FROM c WHERE t) UNION SELECT r, 'hash', NULL FROM c WHERE NOT t AND h IN (SELECT h FROM c WHERE t)
+  UNION SELECT c.r, 'text', max(len(list_intersect(e.w, b.w)) / len(e.w)) FROM near JOIN e ON e.x = ex JOIN b ON b.x = bx JOIN c ON c.x = ex AND NOT c.t GROUP BY 1, 2), g AS (SELECT r, max(why = 'id') AS a, max(why = 'hash') AS b, max(why = 'text') AS d, max(k) AS k FROM h GROUP BY 1),
+  s AS (SELECT DISTINCT {_ID.format("image_id")} AS r, {_SPLIT.format("split")} AS split, coalesce({_ID.format("metadata.dataset_source")}, 'none') AS dataset_source FROM m7_claims WHERE {_ID.format("image_id")} IS NOT NULL AND {_SPLIT.format("split")} <> 'train')
+  SELECT split, dataset_source, count(*) AS n_records, count(g.r) AS n_overlapping, count(*) FILTER (a) AS n_by_id, count(*) FILTER (b) AS n_by_hash, count(*) FILTER (d) AS n_by_text, round(avg(k), 6) AS mean_containment FROM s LEFT JOIN g USING (r) GROUP BY 1, 2""")
 def p4_report(spark: SparkSession, base: str) -> DataFrame:
-    links, claims = _claim_overlaps(spark, base)
-    return overlap.overlap_report(links, claims, norm_id("image_id"), norm_split("split"), norm_id("metadata.dataset_source"))
+    claims = table(spark, base, "m7_claims")
+    r = overlap.overlap_report(claims, norm_id("image_id"), norm_split("split"), norm_hash("image_hash"), F.col("caption"), norm_id("metadata.dataset_source"))
+    return r.withColumn("mean_containment", F.round("mean_containment", 6))
 
 
 def _broken(spark: SparkSession, base: str) -> DataFrame:
