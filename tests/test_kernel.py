@@ -76,3 +76,15 @@ def test_topologies_and_couplings():
     assert K.topology(3, "mst", w) == [(0, 2, 0.9), (1, 2, 0.4)] and K.topology(3, "none") == []
     assert K.maximum_spanning_tree([(0, 1, 0.3)], 4) == [(0, 1, 0.3), (1, 2, 0.5), (2, 3, 0.5)]
     assert K.couplings([(0, 1, 0.5)], "weighted", 2.0) == [(0, 1, 1.0)] and K.couplings([(0, 1, 0.5)], "zero", 2.0)[0][2] == 0
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 6))
+def test_critical_radii_of_many_chains(seed, n):
+    r = np.random.default_rng(seed)
+    th, j = r.normal(size=(2, n)), r.uniform(0, 1, (2, n - 1))
+    got = K.chain_critical_radii(th, j)
+    for i in range(2):
+        t = K.Tree(th[i], [(k, k + 1, j[i, k]) for k in range(n - 1)])
+        assert np.allclose(got[i], [K.critical_radius(t, k) for k in range(n)], atol=1e-6)
+    assert np.isinf(K.chain_critical_radii(np.array([[-30.0]]), np.zeros((1, 0)))).all()

@@ -148,3 +148,21 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["lock", str(tmp_path / "f"), str(tmp_path / "l")]) == 0 and cli.main(["verify-lock", str(tmp_path / "f"), str(tmp_path / "l")]) == 0
     (tmp_path / "f" / "x").write_text("2")
     assert cli.main(["verify-lock", str(tmp_path / "f"), str(tmp_path / "l")]) == 1
+
+
+def test_settings_and_run_manifest(spark, tmp_path):
+    from verispan.config import RunConfig, run_manifest
+
+    c = RunConfig.smoke()
+    c.save(str(tmp_path / "c.json"))
+    assert RunConfig.load(str(tmp_path / "c.json")) == c and c.digest() != RunConfig().digest() and RunConfig().budget == pytest.approx(0.5493)
+    for bad in ({"grid": 1}, {"coupling": -1.0}, {"threshold": 1.5}):
+        with pytest.raises(ValueError):
+            RunConfig.load(bad)
+    m = run_manifest(spark, c, "r1", {"claims": "abc"}, str(tmp_path))
+    assert m["config"]["grid_steps"] == 20 and m["revision"] is None and json.dumps(m)
+
+
+def test_tasks_of_a_benchmark(spark):
+    d = spark.createDataFrame([(1, " Existence", "a_0007.jpg", "Dog ", "Yes"), (2, "attribute", "8.jpg", "dog", "no"), (3, None, None, None, None)], "id int, kind string, image string, object string, truth string")
+    assert [tuple(r) for r in records.map_tasks(d).collect()] == [("task_1", "coco_7", "dog", "supported", "supported"), ("task_2", "coco_8", "dog", "unknown", "unsupported_kind"), ("task_3", None, None, "unknown", "unknown_kind")]

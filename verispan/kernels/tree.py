@@ -308,6 +308,27 @@ def chain_bounds(theta: np.ndarray, eps: np.ndarray, j: np.ndarray, budget: floa
     return {"nominal": plain, "lower_grid": low, "upper_grid": high, "lower_certified": np.minimum(low, sigma(fields_at[-1] - gap)), "upper_certified": np.maximum(high, sigma(fields_at[1] + gap)), "gap": gap, "delta_lower": deltas[-1], "delta_upper": deltas[1]}
 
 
+def chain_critical_radii(theta: np.ndarray, j: np.ndarray, tau: float = 0.5, high: float = 10.0, rounds: int = 30) -> np.ndarray:
+    """``critical_radius`` of every target of many chains of the same length, all bisections side by side."""
+    b, n = theta.shape
+    edge = 0.5 * np.log(tau / (1 - tau))
+    up = chain_fields(theta, j) < edge
+    th, jj = np.repeat(theta, n, axis=0), np.repeat(j, n, axis=0)
+    target, sign = np.tile(np.arange(n), b), np.where(up.ravel(), 1.0, -1.0)
+
+    def reaches(r: np.ndarray) -> np.ndarray:
+        f = chain_fields(th + (sign * r)[:, None], jj)[np.arange(b * n), target]
+        return sign * f >= sign * edge
+
+    lo, hi = np.zeros(b * n), np.full(b * n, high)
+    far = ~reaches(hi)
+    for _ in range(rounds):
+        mid = (lo + hi) / 2
+        yes = reaches(mid)
+        lo, hi = np.where(yes, lo, mid), np.where(yes, mid, hi)
+    return np.where(far, np.inf, hi).reshape(b, n)
+
+
 def chain_fields(theta: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Total fields of many chains of the same length."""
     n = theta.shape[1]

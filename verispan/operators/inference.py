@@ -104,6 +104,26 @@ def robust_bounds(graphs: DataFrame, budget: float, steps: int = 100, targets: s
 ROBUST = "image_id string, target int, nominal double, lower_grid double, upper_grid double, lower_certified double, upper_certified double, gap double, delta_lower array<double>, delta_upper array<double>"
 
 
+def critical_radii(graphs: DataFrame, tau: float = 0.5, high: float = 10.0) -> DataFrame:
+    """image_id, target, radius: the smallest common radius at which the box interval of a node reaches tau; inf beyond ``high``."""
+    kind = dict(graphs.dtypes)["image_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            size, chain = pdf["theta"].map(len), pdf["edges"].map(_is_chain)
+            for n, g in pdf[chain].groupby(size[chain], sort=False):
+                j = np.array([[e["j"] for e in x] for x in g["edges"]], float).reshape(len(g), n - 1)
+                radius = tree.chain_critical_radii(np.stack([np.asarray(x, float) for x in g["theta"]]), j, tau, high)
+                yield pd.DataFrame({"image_id": np.repeat(g["image_id"].to_numpy(), n), "target": np.tile(np.arange(n), len(g)), "radius": radius.ravel()})
+            for r in pdf[~chain].itertuples(index=False):
+                t = tree.Tree(r.theta, [(e["u"], e["v"], e["j"]) for e in r.edges])
+                out += [(r.image_id, k, tree.critical_radius(t, k, tau, high)) for k in range(t.n)]
+            yield pd.DataFrame(out, columns=["image_id", "target", "radius"])
+
+    return graphs.select("image_id", "theta", "edges").mapInPandas(run, f"image_id {kind}, target int, radius double")
+
+
 def chain_graphs(claims: DataFrame, coupling: float) -> DataFrame:
     """One row per image: fields and radii in ordinal order and the edges of a chain."""
     g = claims.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "theta", "eps"))).alias("_c"))

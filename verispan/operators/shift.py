@@ -112,3 +112,18 @@ def swap_scores(claims: DataFrame, keys: Sequence[str], swaps: DataFrame, score:
     """Inner join to another detector's scores by the keys; claims without a finite one are left out."""
     s = swaps.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))).groupBy(*keys).agg(F.min(score).alias("swap_score"))
     return claims.join(s, list(keys))
+
+
+def resampled_thresholds(cal: DataFrame, score: str, level: float, n: int, share: float = 0.8, seed: str = "taus", image: str = "image_id") -> DataFrame:
+    """rep, tau: the claim threshold on n random parts of the images, each with about the share of them."""
+    d = random_splits(cal, n, share, seed, image).where("is_cal")
+    return claim_threshold(d, score, 1 - level, ["rep"])
+
+
+def width_ratio(df: DataFrame, image: str, robust: Column, box: Column, reps: int, seed: str = "ratio") -> DataFrame:
+    """Mean robust width over mean box width with its interval over resampled images; null where boxes have no width."""
+    from verispan.operators.reliability import interval_of, weighted_replicates
+
+    g = df.select(F.col(image), robust.cast("double").alias("_a"), box.cast("double").alias("_b")).where("_a is not null and _b is not null").groupBy(image).agg(F.sum("_a").alias("sa"), F.sum("_b").alias("sb"))
+    r = weighted_replicates(g, image, reps, {"sa": F.col("sa"), "sb": F.col("sb")}, seed)
+    return interval_of(r, F.try_divide("sa", "sb"), "ratio")

@@ -298,3 +298,35 @@ def image_radius(spark: SparkSession, base: str) -> DataFrame:
 def dominance_bootstrap(spark: SparkSession, base: str) -> DataFrame:
     """By how much shifted scores dominate the clean ones, in the data and in ten resamples."""
     return rounded(shift.dominance_bootstrap(_scores(spark, base), "clean", "shifted", 10))
+
+
+@CORE.add("resampled_thresholds", CLAIMS_SQL + ", " + _SHIFTED + f""", r AS (SELECT clean, CAST(rep AS INT) AS rep FROM s, range(10) x(rep) WHERE y = 1 AND {_U.format("image_id || '|' || rep || '|taus'")} < 0.8)
+  SELECT rep, round(min(clean) FILTER (k >= ceil((n + 1) * 0.9 - 1e-9)), 6) AS tau FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY clean) AS k, count(*) OVER (PARTITION BY rep) AS n FROM r) GROUP BY 1""")
+def resampled_thresholds(spark: SparkSession, base: str) -> DataFrame:
+    """The claim threshold on ten random parts of the images."""
+    return rounded(shift.resampled_thresholds(_scores(spark, base), "clean", 0.9, 10))
+
+
+@CORE.add("width_ratio", _LADDER + " " + _boot_sql("SELECT image_id, sum(upper - lower) FILTER (method = 'M6_budget') AS sa, sum(upper - lower) FILTER (method = 'M5_box') AS sb FROM rungs GROUP BY 1", "sum(w * sa) / nullif(sum(w * sb), 0)", "ratio", "ratio", REPS))
+def width_ratio(spark: SparkSession, base: str) -> DataFrame:
+    """How much of the box width the budget leaves."""
+    r = _rungs(spark, base).where("method in ('M5_box', 'M6_budget')").groupBy("image_id", "ordinal").agg(*(F.max(F.when(F.col("method") == m, F.col("upper") - F.col("lower"))).alias(n) for m, n in (("M6_budget", "a"), ("M5_box", "b"))))
+    return _rough(shift.width_ratio(r, "image_id", F.col("a"), F.col("b"), REPS))
+
+
+@CORE.add("holm_adjusted", _sql("""SELECT category, round(p, 6) AS p, round(max(least(1, (m - r) * p)) OVER (ORDER BY p, category ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p, category) - 1 AS r, count(*) OVER () AS m FROM (
+  SELECT category, round(exp(-2 * count(*) * pow(avg(CAST(y AS DOUBLE)) - 0.5, 2)), 9) AS p FROM claims WHERE y IS NOT NULL AND category IS NOT NULL GROUP BY 1))"""))
+def holm_adjusted(spark: SparkSession, base: str) -> DataFrame:
+    """Bounds on the chance that a category's label share is off a half, adjusted for their number."""
+    from verispan.operators.ordered import holm
+
+    g = claims_base(spark, base, True).where("y is not null and category is not null").groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("y").cast("double")).alias("m"))
+    p = g.select(F.col("category").alias("name"), F.round(F.exp(-2 * F.col("n") * (F.col("m") - 0.5) ** 2), 9).alias("p"))
+    return rounded(holm(p).select(F.col("name").alias("category"), "p", "p_holm"))
+
+
+@CORE.add("critical_radius")
+def critical_radius(spark: SparkSession, base: str) -> DataFrame:
+    """The radius at which the box interval of every claim reaches one half."""
+    g = inference.chain_graphs(claims_base(spark, base), COUPLING)
+    return rounded(inference.critical_radii(g).select("image_id", (F.col("target") + 1).alias("ordinal"), "radius"), 4)

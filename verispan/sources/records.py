@@ -79,6 +79,19 @@ def map_yes_no(rows: DataFrame) -> DataFrame:
     return rows.select(F.md5(F.concat_ws("|", "image", "question")).alias("claim_id"), coco_id_of(F.col("image")).alias("image_id"), F.when(ok, named).alias("object_category"), status.alias("status"), F.coalesce(ok, F.lit(False)).alias("supported_task"))
 
 
+# Kinds of benchmark questions that ask whether an object is there, and those that ask something else.
+PRESENCE_KINDS = ("existence", "discriminative-hallucination", "presence")
+OTHER_KINDS = ("attribute", "discriminative-attribute", "relation", "discriminative-relation", "state", "number", "action")
+
+
+def map_tasks(rows: DataFrame) -> DataFrame:
+    """Benchmark rows (id, kind, image, object, truth) as claims: claim_id, image_id, object_category, status, mapped (supported, unsupported_kind, unknown_kind)."""
+    kind, truth = F.lower(F.trim("kind")), F.lower(F.trim(F.col("truth").cast("string")))
+    status = F.when(truth.isin("yes", "true", "1"), "supported").when(truth.isin("no", "false", "0"), "hallucinated").otherwise("unknown")
+    how = F.when(kind.isin(*PRESENCE_KINDS), "supported").when(kind.isin(*OTHER_KINDS), "unsupported_kind").otherwise("unknown_kind")
+    return rows.select(F.concat_ws("_", F.lit("task"), F.col("id").cast("string")).alias("claim_id"), coco_id_of(F.col("image")).alias("image_id"), F.lower(F.trim("object")).alias("object_category"), F.when(how == "supported", status).otherwise("unknown").alias("status"), how.alias("mapped"))
+
+
 def generative_entries(rows: DataFrame) -> DataFrame:
     """Entries (id, type, truth, hallu) of the generative kind: id, truth, and the hallucinations that are not true as well; one row per id."""
     d = rows.where("type = 'generative'").groupBy("id").agg(F.first("truth").alias("truth"), F.first("hallu").alias("hallu"))
