@@ -200,6 +200,10 @@ def test_splitting_tree_gives_each_block_once():
         spans = sorted((int(o[k]), int(o[k] + n[k])) for n, o in got)
         covered = [x for a, b in spans for x in range(a, b)]
         assert covered == list(range(q[k]))
+    # blocks that go down the tree come to the shard whose range holds them
+    source, rank = (np.array(x) for x in zip(*((k, i) for k in range(4) for i in range(q[k]))))
+    at = mixing._shards_of(source, rank, 7, q, 1)
+    assert all(got[s][1][k] <= i < got[s][1][k] + got[s][0][k] for s, k, i in zip(at, source, rank))
 
 
 def test_mix_shares(spark):

@@ -6,10 +6,11 @@ source is needed. The longest mix that honours all shares and repeat caps fixes
 each source's token need; whole passes over a source and then permuted blocks
 of one more pass fill it. The chosen blocks form exact quotas, which a splitting
 tree of multivariate hypergeometric draws divides among the output shards: each
-node draws how many blocks of each source go left, the rest goes right. A shard
-walks from the root to its leaf on its own (log2(shards) draws, seeded by the
-node), learning its quotas and the offsets of its disjoint blocks. Records are
-then shuffled within their shard.
+node draws how many blocks of each source go left, the rest goes right, seeded by
+the node, so any task can repeat the draws. Ranges of permuted blocks go down the
+tree to their shards (log2(shards) draws a path); a shard's blocks of a source
+are one range of its permutation, disjoint from all others. Records are then
+shuffled within their shard.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verispan.functions.keys import norm_source
 from verispan.llm.words import RANKS, tokenizer
+from verispan.operators.ordered import running
 from verispan.session import cut
 
 #: Blocks of one source and repeat: bounds the tables of blocks however large the source is.
@@ -56,17 +58,21 @@ def mix_targets(targets: DataFrame, most: int = 10_000) -> list[tuple[str, float
     return [(x.s, x.w / total, int(x.r)) for x in rows]
 
 
+def _left(lo: int, hi: int, q: np.ndarray, seed: int) -> tuple[int, np.ndarray]:
+    """The middle of a node of the splitting tree and its left part's quotas."""
+    mid, total = (lo + hi) // 2, int(q.sum())
+    # blocks are spread evenly: the left part takes its share of all blocks, rounded by a seeded draw
+    rng = np.random.default_rng([seed, lo, hi])
+    want = total * (mid - lo) / (hi - lo)
+    take = int(want) + int(rng.random() < want - int(want))
+    return mid, rng.multivariate_hypergeometric(q, min(take, total), method="marginals") if total else q * 0
+
+
 def _walk(shard: int, shards: int, quotas: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Quota and offset of each source's blocks for one shard: the path from the root of the splitting tree to its leaf."""
     lo, hi, q, off = 0, shards, quotas.astype(np.int64), np.zeros(len(quotas), np.int64)
     while hi - lo > 1:
-        mid = (lo + hi) // 2
-        total = int(q.sum())
-        # blocks are spread evenly: the left part takes its share of all blocks, rounded by a seeded draw
-        rng = np.random.default_rng([seed, lo, hi])
-        want = total * (mid - lo) / (hi - lo)
-        take = int(want) + int(rng.random() < want - int(want))
-        left = rng.multivariate_hypergeometric(q, min(take, total), method="marginals") if total else q * 0
+        mid, left = _left(lo, hi, q, seed)
         if shard < mid:
             hi, q = mid, left
         else:
@@ -74,21 +80,34 @@ def _walk(shard: int, shards: int, quotas: np.ndarray, seed: int) -> tuple[np.nd
     return q, off
 
 
-def shard_quotas(spark: SparkSession, shards: int, names: Sequence[str], quotas: Sequence[int], seed: int) -> DataFrame:
-    """shard, source, first, last: the range of permuted block ranks of each source that a shard takes."""
-    names, quotas = list(names), np.array(quotas, np.int64)
+def _shards_of(source: np.ndarray, rank: np.ndarray, shards: int, quotas: np.ndarray, seed: int) -> np.ndarray:
+    """The shard of each block (number of its source, rank within it): the blocks go down the splitting tree together, and only nodes that get some are drawn."""
+    out = np.zeros(len(rank), np.int64)
+    todo = [(0, shards, quotas.astype(np.int64), np.zeros(len(quotas), np.int64), np.arange(len(rank)))]
+    while todo:
+        lo, hi, q, off, rows = todo.pop()
+        if not len(rows):
+            continue
+        if hi - lo == 1:
+            out[rows] = lo
+            continue
+        mid, left = _left(lo, hi, q, seed)
+        goes = rank[rows] < (off + left)[source[rows]]
+        todo += [(lo, mid, left, off, rows[goes]), (mid, hi, q - left, off + left, rows[~goes])]
+    return out
+
 
-    def run(batches):
-        import pandas as pd
+def place_blocks(chosen: DataFrame, shards: int, names: Sequence[str], quotas: Sequence[int], seed: int) -> DataFrame:
+    """chosen (source, copy, block, rank from 0) with their ``shard``. Batches come in ranges of ranks, so each goes down few branches of the tree."""
+    number, quotas = {n: i for i, n in enumerate(names)}, np.array(quotas, np.int64)
 
-        for pdf in batches:
-            out = []
-            for s in pdf["id"]:
-                q, off = _walk(int(s), shards, quotas, seed)
-                out += [(int(s), n, int(o), int(o + k)) for n, k, o in zip(names, q, off) if k]
-            yield pd.DataFrame(out, columns=["shard", "source", "first", "last"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            source = np.array([number[x] for x in b.column(0).to_pylist()], np.int64)
+            shard = _shards_of(source, b.column(3).to_numpy(zero_copy_only=False), shards, quotas, seed) if b.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(shard)], names=["source", "copy", "block", "shard"])
 
-    return spark.range(shards).mapInPandas(run, "shard long, source string, first long, last long")
+    return chosen.select("source", "copy", "block", F.col("rank").cast("long")).mapInArrow(run, "source string, copy int, block long, shard long")
 
 
 def mix(docs: DataFrame, targets: Sequence[tuple[str, float, int]], shard_tokens: int = 2_000_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
@@ -124,23 +143,19 @@ def mix(docs: DataFrame, targets: Sequence[tuple[str, float, int]], shard_tokens
     uses = used.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int"))))
     uses = uses.withColumn("block", F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed)), F.col("n_blocks")))
     blocks = uses.groupBy("source", "copy", "block").agg(F.sum("tokens").alias("bt"), F.first("passes").alias("passes"), F.first("need").alias("need"), F.first("available").alias("available"))
-    # whole passes are taken as they are; of the last one, permuted blocks up to the need. At most most_blocks rows a source.
+    # whole passes are taken as they are; of the last one, permuted blocks up to the need. Sums and ranks run over ranges of (source, order), no source in one task.
     perm = F.xxhash64("source", "copy", "block", F.lit(seed + 1))
-    run = F.sum("bt").over(Window.partitionBy("source").orderBy(perm, "block").rowsBetween(Window.unboundedPreceding, 0))
     rest = F.col("need") - F.col("passes") * F.col("available")
-    part = blocks.where(F.col("copy") == F.col("passes")).withColumn("_run", run).where(F.col("_run") - F.col("bt") / 2 <= rest).select("source", "copy", "block")
+    last = running(blocks.where(F.col("copy") == F.col("passes")), [perm, F.col("block")], {"_run": F.col("bt")}, ["source"])
+    part = last.where(F.col("_run") - F.col("bt") / 2 <= rest).select("source", "copy", "block")
     whole = blocks.where(F.col("copy") < F.col("passes")).select("source", "copy", "block")
-    chosen = whole.unionByName(part).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("source", "copy", "block", F.lit(seed + 2)), "copy", "block")) - 1)
-    chosen = cut(chosen.withColumn("rank", F.col("rank").cast("long")))
+    order = [F.xxhash64("source", "copy", "block", F.lit(seed + 2)), F.col("copy"), F.col("block")]
+    chosen = running(whole.unionByName(part), order, {"rank": F.lit(1)}, ["source"]).withColumn("rank", F.col("rank") - 1)
+    chosen = cut(chosen.select("source", F.col("copy").cast("int").alias("copy"), "block", F.col("rank").cast("long").alias("rank")))
     quota = {r.source: r.n for r in chosen.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(quota)
     shards = max(1, min(int(length // shard_tokens), sum(quota.values()) // 8))  # some blocks a shard, so that it holds a mix
-    ranges = shard_quotas(spark, shards, names, [quota[s] for s in names], seed)
-    # each rank lies in one range: ranges start at their own rank, found by the last start at or before it
-    starts = ranges.select("source", F.col("first").alias("rank"), F.lit(0).alias("_block"), "shard")
-    marks = chosen.select("source", "rank", F.lit(1).alias("_block"), F.lit(None).cast("long").alias("shard"), "copy", "block").unionByName(starts, allowMissingColumns=True)
-    at = Window.partitionBy("source").orderBy("rank", "_block").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marks.withColumn("shard", F.last("shard", ignorenulls=True).over(at)).where("_block = 1").select("source", "copy", "block", "shard")
+    placed = place_blocks(chosen, shards, names, [quota[s] for s in names], seed)
     rows = uses.select("doc_id", "source", "copy", "block", "tokens").join(placed, ["source", "copy", "block"])
     order = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "copy", F.lit(seed + 3)), "doc_id", "copy")
     mixed = rows.select("doc_id", "source", "copy", "shard", (F.row_number().over(order) - 1).alias("position"), "tokens")
