@@ -343,3 +343,36 @@ def test_answers_cut_at_a_limit_of_tokens(spark):
 def test_one_answer_repeated_many_times(spark):
     df = spark.createDataFrame([(f"r{i}", "Describe the image.", "A brown dog sits near the gate.", 64, i) for i in range(3000)] + [("x", "Describe the image.", "A brown dog sits near the ga", 64, 0)], "response_id string, prompt string, caption string, lim int, key int")
     assert {tuple(x) for x in pairs.broken_pairs(df, F.col("response_id"), F.col("prompt"), F.col("caption"), F.col("lim")).collect()} == {("x", "truncated")}
+
+
+# --- odd input
+
+
+def test_very_long_texts(spark):
+    r = random.Random(12)
+    w = [f"w{i}" for i in range(6000)]
+    long = " ".join(r.choices(w, k=60_000))
+    d = spark.createDataFrame([(1, long, "a", "en"), (2, long.replace("w1 ", "w1 "), "a", "en"), (3, "x" * 300_000, "a", "en"), (4, " " * 50_000, "a", "en"), (5, None, None, None)], "doc_id long, text string, source string, lang string")
+    assert {tuple(x) for x in lookalike.same_look_pairs(d).collect()} == {(1, 2)}
+    m, rep = mixing.mix(d, [("a", 1.0, 2)], shard_tokens=50_000)
+    assert rep.first().most_uses == 2 and m.select("doc_id").distinct().count() == 4
+    rows = spark.createDataFrame([("e", "test", long), ("t", "train", long + " more words"), ("o", "train", "w1 w2")], "record string, split string, text string")
+    links = overlap.cross_split_links(rows, F.col("record"), F.col("split"), F.lit(None).cast("string"), F.col("text"))
+    assert [(x.record_eval, x.record_train) for x in links.collect()] == [("e", "t")]
+    p = spark.createDataFrame([("a", "Describe the image.", long + ".", None), ("b", "Describe the image.", long[: len(long) // 2], None), ("c", long, long, None), ("d", "Where?", "[" * 50_000, None)], "response_id string, prompt string, caption string, lim int")
+    got = {tuple(x) for x in pairs.broken_pairs(p, F.col("response_id"), F.col("prompt"), F.col("caption"), F.col("lim")).collect()}
+    assert {("b", "truncated"), ("c", "copied"), ("d", "empty")} <= got and "a" not in dict(got)
+
+
+def test_columns_with_clashing_names(spark):
+    """Extra columns named like the operators' own do not matter."""
+    d = spark.createDataFrame([(1, "One word here and there.", "a", 1, 1, 1, 1), (2, "Оne word here and there.", "a", 2, 2, 2, 2)], "doc_id long, text string, source string, tokens int, block int, _id int, _text int")
+    assert lookalike.same_look_pairs(d).count() == 1 and mixing.mix(d, [("a", 1.0, 1)])[0].count() == 2
+    i = spark.createDataFrame([(7, "one word here and there", 3, 3)], "item_id long, item_text string, words int, doc_id int")
+    assert {x.doc_id for x in leakage.leaked_windows(spark, d, i).collect()} == {1, 2}
+    k = spark.createDataFrame([("a", "h", 1, 1), ("b", "h", 2, 2), (None, None, None, None)], "id string, h string, node int, key int")
+    assert {tuple(x) for x in components.related_groups(k, F.col("id"), [("h", F.col("h"))]).collect()} == {("a", "a"), ("b", "a")}
+    l = spark.createDataFrame([("i", "a", "x", 1, 1), ("i", "b", "x", 1, 1)], "item string, annotator string, label string, vote int, seen int")
+    assert consensus.consensus_messages(l, ("x", "y"))[0].first().consensus == "x"
+    q = spark.createDataFrame([("r", "Where is it?", None, 5, 1, 1)], "response_id string, prompt string, caption string, lim int, tk int, key int")
+    assert [tuple(x) for x in pairs.broken_pairs(q, F.col("response_id"), F.col("prompt"), F.col("caption"), F.col("lim")).collect()] == [("r", "empty")]
