@@ -97,7 +97,7 @@ def test_pgm_label_refuses_unknown(spark):
         d.select(scalar.pgm_label(F.col("s"))).collect()
 
 
-def test_claim_grids_are_those_of_the_reference(spark, monkeypatch):
+def test_claim_grids_are_those_of_production(spark, monkeypatch):
     from verispan.plans import claim_queries as q
 
     rows = [(f"i{i}", o, 0.1 * o, 0.2, 1) for i in range(3) for o in (1, 2, 3)]
@@ -110,7 +110,7 @@ def test_claim_grids_are_those_of_the_reference(spark, monkeypatch):
     assert tuple(q.robust_bounds_checked(spark, "").first()) == (9, 0, 0, 0)
 
 
-def test_bootstrap_with_the_replicates_of_the_reference(spark, monkeypatch):
+def test_bootstrap_with_enough_replicates(spark, monkeypatch):
     from verispan.plans import claim_queries as q
 
     claims = spark.createDataFrame([(f"i{i}", 0.9 if i % 3 else 0.1, i % 2) for i in range(60)], "image_id string, p double, y int")

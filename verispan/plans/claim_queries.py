@@ -22,7 +22,7 @@ def _p():
     return F.col("p")
 
 
-#: Steps of the budget grid and couplings tried, as in the reference.
+#: Steps of the budget grid and couplings tried in production.
 GRID_STEPS = 100
 COUPLING_GRID = [j / 100 for j in range(201)]
 
@@ -475,7 +475,7 @@ def bootstrap_interval(spark: SparkSession, base: str) -> DataFrame:
     return rounded(resampling.interval(rounded(_replicates(spark, base, 20)), "error_rate"), 5)
 
 
-#: Replicates of the reference. The two queries above keep the 20 of their SQL.
+#: Replicates that suffice for an interval. The two queries above keep the 20 of their SQL.
 REPLICATES = 500
 _BOOT_FULL = _BOOT.replace("range(20)", f"range({REPLICATES})")
 
