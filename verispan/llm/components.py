@@ -25,7 +25,7 @@ NO_ID = "\U0010ffff"
 
 def star_links(keyed: DataFrame, salts: int = 64) -> DataFrame:
     """(node, key) rows to links (a, b) with b the lesser node; links of a node to itself are left out."""
-    d = keyed.where("node is not null and key is not null").distinct()
+    d = cut(keyed.where("node is not null and key is not null").distinct())  # used three times below
     d = d.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)))
     part = d.groupBy("key", "_salt").agg(F.min("node").alias("_least"))
     low = d.join(part, ["key", "_salt"]).select(F.col("node").alias("a"), F.col("_least").alias("b"))
@@ -34,7 +34,7 @@ def star_links(keyed: DataFrame, salts: int = 64) -> DataFrame:
     return low.unionByName(high).where("a != b").distinct()
 
 
-def hash_to_min(links: DataFrame, max_rounds: int = 60, hot: int = 100_000, most_hot: int = 100_000) -> tuple[DataFrame, int]:
+def hash_to_min(links: DataFrame, max_rounds: int = 60, hot: int = 1_000_000, most_hot: int = 100_000) -> tuple[DataFrame, int]:
     """Connected components of the links: (node, component), component being the least node, itself included.
 
     Every round is written to the shared checkpoint folder. Rounds grow with the
@@ -43,7 +43,7 @@ def hash_to_min(links: DataFrame, max_rounds: int = 60, hot: int = 100_000, most
     its least node by broadcast; there are at most rows / hot such nodes, and more
     than ``most_hot`` of them are an error, not a larger broadcast.
     """
-    a, b = F.col("a"), F.col("b")
+    a, b, links = F.col("a"), F.col("b"), cut(links)
     both = links.select(a.alias("v"), b.alias("u")).unionByName(links.select(b.alias("v"), a.alias("u")))
     own = both.select("v", F.col("v").alias("u"))
     state = cut(both.unionByName(own).distinct())
