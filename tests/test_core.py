@@ -1,12 +1,14 @@
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from verispan.functions import keys, scalar
-from verispan.kernels import tree
+from verispan.kernels import digests, tree
 from verispan.operators import inference, metrics, ordered, resampling
 from verispan.operators.references import Reference, orphan_references, orphan_report
 
@@ -143,6 +145,67 @@ def test_permutations_keep_the_number_of_ones(spark):
     assert t.observed == pytest.approx(1.0) and t.p_value == pytest.approx(0.05)
 
 
+@pytest.mark.parametrize("shape", ["even", "one giant group", "few rows", "rows without a name"])
+def test_permutations_are_not_stored_per_replicate(spark, monkeypatch, shape):
+    r = random.Random(8)
+    n, reps = (12, 19) if shape == "few rows" else (3000, 7)
+    group = {"one giant group": lambda: 1 if r.random() < 0.9 else r.randrange(9), "few rows": lambda: r.randrange(4)}.get(shape, lambda: r.choice((None, *range(700))))
+    rows = [(f"é{i}" if i % 2 else str(i), group(), int(r.random() < 0.3)) for i in range(n)]
+    if shape == "rows without a name":  # equal hashes miss any margin
+        rows = [(None, g, y) for _, g, y in rows]
+    d = spark.createDataFrame([*rows, ("none", 3, None)], "i string, g int, y int")
+    stored = []
+    own = resampling.cut
+    monkeypatch.setattr(resampling, "cut", lambda x: [own(x), stored.append(x.count())][0])
+    monkeypatch.setattr(ordered, "cut", lambda x: [own(x), stored.append(x.count())][0])
+    monkeypatch.setattr(resampling.digests, "ROWS", 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")  # groups reach over batches
+    try:
+        got = resampling.permutation_pvalue(d, F.col("g"), "y", F.col("i"), reps, "s").first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    if shape == "rows without a name":
+        assert got.n_permutations == reps and 0 < got.p_value <= 1
+        return
+    assert shape == "few rows" or sum(stored) < n * reps / 2
+
+    def correlation(of):
+        groups = {}
+        for (_, g, _), v in zip(rows, of):
+            groups.setdefault(g, []).append(v)
+        sizes = [(len(v), sum(v)) for g, v in groups.items() if g is not None]
+        count, sx, sxy = sum(k * (k - 1) for k, _ in sizes), sum((k - 1) * s for k, s in sizes), sum(s * s - s for _, s in sizes)
+        m = sx / count
+        return (sxy / count - m * m) / (m - m * m)
+
+    ones = sum(y for *_, y in rows)
+    hits, observed = 0, correlation([y for *_, y in rows])
+    for rep in range(reps):
+        order = sorted(range(n), key=lambda k: hashlib.md5(f"{rows[k][0]}|{rep}|s".encode()).hexdigest()[:13])
+        taken = set(order[:ones])
+        hits += correlation([int(k in taken) for k in range(n)]) >= observed - 1e-12
+    assert got.n_permutations == reps and got.observed == pytest.approx(observed) and got.p_value == pytest.approx((hits + 1) / (reps + 1))
+
+
+def test_hashes_in_numpy_are_those_of_md5():
+    r = random.Random(4)
+    texts = ["", "é|", *("x" * k for k in range(60)), *(f"{r.randrange(10 ** r.randrange(1, 30))}|" for _ in range(500))]
+    a = pa.array(["skipped", *texts]).slice(1)
+    bounds = digests.Bounds(scalar.poisson_bounds())
+    for suffix in (b"", b"0|boot", b"499|boot"):
+        got, counts = np.zeros(len(texts), np.uint32), np.zeros(len(texts), int)
+        for b in digests.blocks(a):
+            got[b.rows] = b.heads(suffix)
+            counts[b.rows] = b.counts(suffix, bounds)
+        want = [hashlib.md5(t.encode() + suffix).hexdigest() for t in texts]
+        assert got.tolist() == [int(w[:8], 16) for w in want]
+        assert counts.tolist() == [sum(int(w[:13], 16) / 2**52 >= b for b in bounds.of) for w in want]
+    # a bound that lies inside the first 32 bits of a digest needs the rest of it
+    b = next(digests.blocks(pa.array(["a|"])))
+    u = b.exact(0, b"0|s")
+    assert b.counts(b"0|s", digests.Bounds([u])).tolist() == [1] and b.counts(b"0|s", digests.Bounds([u + 2**-52])).tolist() == [0]
+
+
 def test_planted_contract_breaks_are_found(spark):
     from verispan.operators import audits
 

@@ -96,14 +96,22 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson_weight(u: Column, most: int = 8) -> Column:
-    """Poisson(1) count of a uniform number: how often a cluster is drawn in a replicate."""
+def poisson_bounds(most: int = 8) -> list[float]:
+    """Where the Poisson(1) count of a uniform number passes from k to k + 1, up to ``most``."""
     import math
 
-    out, total = F.lit(most), sum(math.exp(-1) / math.factorial(k) for k in range(most))
+    out, total = [], sum(math.exp(-1) / math.factorial(k) for k in range(most))
     for k in range(most - 1, -1, -1):
-        out = F.when(u < total, F.lit(k)).otherwise(out)
+        out.append(total)
         total -= math.exp(-1) / math.factorial(k)
+    return out[::-1]
+
+
+def poisson_weight(u: Column, most: int = 8) -> Column:
+    """Poisson(1) count of a uniform number: how often a cluster is drawn in a replicate."""
+    out = F.lit(most)
+    for k, bound in reversed(list(enumerate(poisson_bounds(most)))):
+        out = F.when(u < bound, F.lit(k)).otherwise(out)
     return out
 
 
