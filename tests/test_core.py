@@ -122,6 +122,25 @@ def test_bootstrap_with_enough_replicates(spark, monkeypatch):
     assert r.n_replicates == 500 and r.lower < r.median < r.upper
 
 
+def _drawn(cluster, rep, seed):
+    text = "|".join(str(x) for x in (cluster, rep, seed) if x is not None)
+    u = int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2**52
+    return sum(u >= b for b in scalar.poisson_bounds())
+
+
+def test_replicates_make_no_row_per_cluster_and_replicate(spark):
+    rows = [(f"c{i}" if i else None, float(i), None if i % 3 else 0.5, None) for i in range(200)]
+    d = spark.createDataFrame(rows, "c string, a double, b double, e double")
+    got = resampling.replicates(d, "c", 30, {n: F.col(n) for n in "abe"}, "x")
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    found = {r.rep: r for r in got.collect()}
+    assert sorted(found) == list(range(30)) and {r.e for r in found.values()} == {None}
+    for rep, r in found.items():
+        w = [_drawn(c, rep, "x") for c, *_ in rows]
+        assert r.a == pytest.approx(sum(k * a for k, (_, a, _, _) in zip(w, rows))) and r.b == pytest.approx(sum(k * (b or 0) for k, (_, _, b, _) in zip(w, rows)))
+    assert resampling.replicates(d.limit(0), "c", 3, {"a": F.col("a")}, "x").count() == 0
+
+
 def test_quantiles_and_keyed_sums_need_no_whole_key(spark):
     r = random.Random(5)
     rows = [(r.choice(("a", "b", None)), r.choice((None, float("nan"), r.random(), 0.5)), i) for i in range(400)]

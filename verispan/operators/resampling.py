@@ -3,7 +3,7 @@
 A replicate's weight of a cluster is a Poisson(1) draw from a hash of (cluster,
 replicate), so a cluster's rows are drawn together, nothing is shuffled to draw,
 and any engine with md5 repeats the draws. Rows are summed per cluster first. The
-hashes of permutations are made in numpy, a block of rows at a time, and never stored.
+hashes of all replicates are made in numpy, a block of rows at a time, and never stored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verispan.functions.scalar import poisson_weight, uniform
+from verispan.functions.scalar import poisson_bounds, uniform
 from verispan.kernels import digests
 from verispan.operators.ordered import running
 from verispan.session import cut
@@ -48,10 +48,26 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def replicates(clusters: DataFrame, cluster: str, reps: int, sums: dict[str, Column], seed: str) -> DataFrame:
-    """rep and the weighted sums per replicate; clusters has one row per cluster. Partial sums stay on the map side."""
-    d = clusters.select(F.col(cluster).alias("_c"), *(e.cast("double").alias(n) for n, e in sums.items()), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    w = poisson_weight(uniform(F.col("_c"), F.col("rep"), F.lit(seed)))
-    return d.withColumn("_w", w).groupBy("rep").agg(*(F.sum(F.col("_w") * F.col(n)).alias(n) for n in sums))
+    """rep and the weighted sums per replicate; clusters has one row per cluster. A task gives one row per replicate."""
+    d = clusters.select(_prefix(F.col(cluster)).alias("_prefix"), *(e.cast("double").alias(n) for n, e in sums.items()))
+    bounds, suffixes, names = digests.Bounds(poisson_bounds()), [f"{r}|{seed}".encode() for r in range(reps)], list(sums)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, there = np.zeros((reps, len(names))), np.zeros(len(names), bool)
+        any_row = False
+        for b in _gathered(batches):
+            any_row = True
+            values = np.column_stack([pc.fill_null(b.column(n), 0.0).to_numpy(zero_copy_only=False) for n in names])
+            there |= [b.column(n).null_count < b.num_rows for n in names]
+            for block in digests.blocks(b.column("_prefix")):
+                v = np.ascontiguousarray(values[block.rows].T)
+                for r, s in enumerate(suffixes):
+                    total[r] += v @ block.counts(s, bounds)
+        if any_row:
+            yield pa.RecordBatch.from_arrays([pa.array(range(reps), pa.int32()), *(pa.array(total[:, i] if there[i] else [None] * reps, pa.float64()) for i in range(len(names)))], ["rep", *names])
+
+    schema = T.StructType([T.StructField("rep", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+    return _spread(d, F.col("_prefix")).mapInArrow(part, schema).groupBy("rep").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def interval(reps: DataFrame, value: str, level: float = 0.95, least: int = 10) -> DataFrame:
