@@ -141,6 +141,22 @@ def test_replicates_make_no_row_per_cluster_and_replicate(spark):
     assert resampling.replicates(d.limit(0), "c", 3, {"a": F.col("a")}, "x").count() == 0
 
 
+def test_full_bootstrap_draws_every_replicate_by_its_hash(spark, monkeypatch):
+    from verispan.plans import claim_queries as q
+
+    rows = [(i // 3, 0.9 if i % 5 else 0.1, None if i % 7 == 0 else i % 2) for i in range(90)]
+    claims = spark.createDataFrame(rows, "image_id long, p double, y int")
+    monkeypatch.setattr(q, "claims_base", lambda *_: claims)
+    d = q.CORE.queries["cluster_bootstrap_full"](spark, "")
+    assert "Generate" not in d._jdf.queryExecution().toString()
+    found = {r.rep: (r.n, r.error_rate) for r in d.collect()}
+    assert sorted(found) == list(range(500))
+    for rep in (0, 7, 99, 499):
+        w = [_drawn(i, rep, "boot") if y is not None else 0 for i, _, y in rows]
+        wrong = sum(k for k, (_, p, y) in zip(w, rows) if (p >= 0.5) != (y == 1))
+        assert found[rep] == (sum(w), pytest.approx(wrong / sum(w), abs=1e-6))
+
+
 def test_quantiles_and_keyed_sums_need_no_whole_key(spark):
     r = random.Random(5)
     rows = [(r.choice(("a", "b", None)), r.choice((None, float("nan"), r.random(), 0.5)), i) for i in range(400)]
