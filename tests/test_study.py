@@ -61,6 +61,26 @@ def test_incremental_utility_tells_a_useful_feature(labelled):
     assert fits.incremental_utility(d.limit(3), [F.col("a")], [F.col("b")], F.col("y"), F.col("g")).first().status == "too_few"
 
 
+def test_incremental_utility_reads_its_rows_once(labelled, spark):
+    d, x, y = labelled
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        read.add(1)
+        return v
+
+    twice = d.unionByName(d).withColumn("a", F.udf(seen, "double").asNondeterministic()("a"))
+    r = fits.incremental_utility(twice, [F.col("a")], [F.col("b")], F.col("y"), F.col("g")).first()
+    assert read.value <= 2 * d.count()  # not once for each step of each fit
+    folds = np.array([f.f for f in spark.createDataFrame([(i // 3,) for i in range(300)], "g int").select((S.uniform("g", F.lit("folds")) * 5).cast("int").alias("f")).collect()])
+    p = np.zeros(300)
+    for f in range(5):
+        m = folds != f
+        w = _numpy_logistic(np.r_[x[m], x[m]], np.r_[y[m], y[m]], 1e-2)
+        p[~m] = 1 / (1 + np.exp(-np.c_[np.ones((~m).sum()), x[~m]] @ w))
+    assert r.n == 600 and r.log_loss_both == pytest.approx(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)), abs=1e-7) and r.brier_both == pytest.approx(np.mean((p - y) ** 2), abs=1e-7)
+
+
 def test_coupling_is_found(spark):
     rows = [(g, i, 0.0, (g + i // 4) % 2) for g in range(8) for i in range(4)]  # all labels of an image agree
     d = spark.createDataFrame(rows + [(9, 0, 0.3, None)], "image_id int, ordinal int, theta double, y int")

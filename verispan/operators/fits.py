@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from verispan.functions import scalar as S
 from verispan.operators.inference import chain_fields
+from verispan.session import cut
 
 
 def evidence_features(det: Column, sim: Column, kind: str = "both") -> list[Column]:
@@ -51,10 +52,10 @@ def logistic(df: DataFrame, features: Sequence[Column], label: Column, l2: float
     return logistic_many(df.withColumn("_model", F.lit(0)), features, label, "_model", [0], l2, steps, tolerance)[0]
 
 
-def logistic_many(df: DataFrame, features: Sequence[Column], label: Column, model: str, models: Sequence[int], l2: float = 1e-2, steps: int = 50, tolerance: float = 1e-10) -> dict[int, list[float]]:
-    """One model per value of the column ``model``, all in the same steps: one aggregation each, with a row per model."""
+def logistic_many(df: DataFrame, features: Sequence[Column], label: Column, model: str, models: Sequence[int], l2: float = 1e-2, steps: int = 50, tolerance: float = 1e-10, times: Column | None = None) -> dict[int, list[float]]:
+    """One model per value of the column ``model``, all in the same steps: one aggregation each, with a row per model. A row counts ``times`` rows."""
     k = len(features) + 1
-    d = df.select(F.col(model).alias("_m"), label.cast("double").alias("_y"), *(f.cast("double").alias(f"_f{i + 1}") for i, f in enumerate(features))).dropna()
+    d = df.select(F.col(model).alias("_m"), (F.lit(1.0) if times is None else times.cast("double")).alias("_times"), label.cast("double").alias("_y"), *(f.cast("double").alias(f"_f{i + 1}") for i, f in enumerate(features))).dropna()
     w = {m: np.zeros(k) for m in models}
     x = [F.lit(1.0), *(F.col(f"_f{i}") for i in range(1, k))]
     pen = np.diag([0.0] + [l2] * (k - 1))
@@ -65,8 +66,8 @@ def logistic_many(df: DataFrame, features: Sequence[Column], label: Column, mode
         for i in range(k):
             z = z + F.col("_w")[i] * x[i]
         e = e.withColumn("_p", S.sigmoid(z))
-        v = F.col("_p") * (1 - F.col("_p"))
-        sums = [F.sum((F.col("_y") - F.col("_p")) * x[i]).alias(f"g{i}") for i in range(k)] + [F.sum(v * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
+        v = F.col("_times") * F.col("_p") * (1 - F.col("_p"))
+        sums = [F.sum(F.col("_times") * (F.col("_y") - F.col("_p")) * x[i]).alias(f"g{i}") for i in range(k)] + [F.sum(v * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
         moved = 0.0
         for r in e.groupBy("_m").agg(*sums).collect():  # a row per model
             g = np.array([r[f"g{i}"] for i in range(k)]) - pen @ w[r["_m"]]
@@ -159,21 +160,25 @@ def incremental_utility(df: DataFrame, nominal: Sequence[Column], robust: Sequen
     """
     fold = (S.uniform(group, F.lit(seed)) * folds).cast("int")
     every = [*nominal, *robust]
-    d = df.select(fold.alias("_fold"), label.cast("double").alias("_y"), *(f.cast("double").alias(f"_x{i}") for i, f in enumerate(every))).dropna()
-    n = d.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p")).first()
+    d = df.where(label.isNotNull()).select(fold.alias("_fold"), label.cast("double").alias("_y"), *(f.cast("double").alias(f"_x{i}") for i, f in enumerate(every)))
+    # read once: every step of the fits goes over what is stored here, equal rows as one; a test for nulls before would work the features out again and again
+    d = cut(d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("_times"))).dropna()
+    times = F.col("_times")
+    n = d.agg(F.coalesce(F.sum(times), F.lit(0)).alias("n"), F.sum(F.col("_y") * times).alias("p")).first()
     spark = df.sparkSession
     schema = "n long, log_loss_nominal double, log_loss_both double, brier_nominal double, brier_both double, gain_log_loss double, gain_brier double, status string"
     if n.n < least or not n.p or n.p == n.n:
         return spark.createDataFrame([(n.n, *[None] * 6, "too_few")], schema)
     train = d.withColumn("_model", F.explode(F.array(*(F.lit(m) for m in range(folds))))).where("_model != _fold")
     xs = [F.col(f"_x{i}") for i in range(len(every))]
-    fits = {name: logistic_many(train, cols, F.col("_y"), "_model", range(folds)) for name, cols in (("nominal", xs[: len(nominal)]), ("both", xs))}
+    fits = {name: logistic_many(train, cols, F.col("_y"), "_model", range(folds), times=times) for name, cols in (("nominal", xs[: len(nominal)]), ("both", xs))}
     aggs = []
     for name, cols in (("nominal", xs[: len(nominal)]), ("both", xs)):
         p = F.lit(None).cast("double")
         for m, w in fits[name].items():
             p = F.when(F.col("_fold") == m, predict(w, cols)).otherwise(p)
         p = S.clip(p, 1e-12, 1 - 1e-12)
-        aggs += [F.avg(-(F.col("_y") * F.log(p) + (1 - F.col("_y")) * F.log(1 - p))).alias(f"log_loss_{name}"), F.avg((p - F.col("_y")) ** 2).alias(f"brier_{name}")]
-    r = d.agg(F.count(F.lit(1)).alias("n"), *aggs)
+        mean = lambda e: F.sum(times * e) / F.sum(times)
+        aggs += [mean(-(F.col("_y") * F.log(p) + (1 - F.col("_y")) * F.log(1 - p))).alias(f"log_loss_{name}"), mean((p - F.col("_y")) ** 2).alias(f"brier_{name}")]
+    r = d.agg(F.sum(times).alias("n"), *aggs)
     return r.select("n", "log_loss_nominal", "log_loss_both", "brier_nominal", "brier_both", (F.col("log_loss_nominal") - F.col("log_loss_both")).alias("gain_log_loss"), (F.col("brier_nominal") - F.col("brier_both")).alias("gain_brier"), F.lit("evaluated").alias("status"))
