@@ -241,6 +241,32 @@ def test_hashes_in_numpy_are_those_of_md5():
     assert b.counts(b"0|s", digests.Bounds([u])).tolist() == [1] and b.counts(b"0|s", digests.Bounds([u + 2**-52])).tolist() == [0]
 
 
+def test_blocks_fill_up_over_batches(monkeypatch):
+    """One unfilled block for each length of a task, not for each length and batch."""
+    monkeypatch.setattr(digests, "ROWS", 40)
+    texts = [f"{i}|" for i in range(5, 305)]  # 5, 90 and 205 of a length
+    parts = [(pa.array(texts[i : i + 7]), np.array([[float(t[:-1])] for t in texts[i : i + 7]])) for i in range(0, 300, 7)]
+    found = list(digests.filled([*parts, (pa.array([], pa.string()), np.empty((0, 1)))]))
+    assert sorted(len(d) for d, _ in found) == [5, 5, 10, *[40] * 7]
+    assert sorted((t.tobytes().decode(), *v) for d, values in found for t, v in zip(d, values)) == sorted((t, float(t[:-1])) for t in texts)
+    assert [len(d) for d, _ in digests.filled([(pa.array(["x" * 2**21] * 3), np.zeros((3, 1)))])] == [1, 1, 1]  # long texts
+
+
+def test_replicates_are_summed_in_java(spark, monkeypatch):
+    """Java's sums are those of hashlib and of numpy: empty and long texts, other than ASCII, more rows than one step takes."""
+    texts = [None, *("x" * k for k in range(70)), *(f"é{i}" for i in range(300)), *(str(i) for i in range(1000, 6000))]
+    d = spark.createDataFrame([(t, float(i % 7), None if i % 3 else 0.5) for i, t in enumerate(texts)], "c string, a double, b double").coalesce(1)
+    r = lambda: resampling.replicates(d, "c", 12, {n: F.col(n) for n in "ab"}, "sé")
+    assert "verispan_WeightedSums" in r()._jdf.queryExecution().toString()
+    java = {x.rep: (x.a, x.b) for x in r().collect()}
+    for rep in (0, 11):
+        w = [_drawn(t, rep, "sé") for t in texts]
+        assert java[rep] == (sum(k * (i % 7) for i, k in enumerate(w)), sum(k * 0.5 for i, k in enumerate(w) if i % 3 == 0))
+    monkeypatch.setattr(resampling.jvm, "function", lambda *_: None)
+    assert "verispan_WeightedSums" not in r()._jdf.queryExecution().toString()
+    assert {x.rep: (x.a, x.b) for x in r().collect()} == java
+
+
 def test_planted_contract_breaks_are_found(spark):
     from verispan.operators import audits
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ _S = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
 _G = [[i, (5 * i + 1) % 16, (3 * i + 5) % 16, 7 * i % 16][i // 16] for i in range(64)]
 _INIT = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 ROWS = 32768  # of a block at most: fewer pay for the calls, more leave the cache
+_BYTES = 2**22  # of the texts of a block at most, as it is one value of a row on its way to Java
 _MASK = 2**32 - 1
 _NUMBER = lambda x: np.array(x & _MASK, np.uint32)
 _LEFT = [_NUMBER(_S[i // 16][i % 4]) for i in range(64)]
@@ -106,8 +107,8 @@ class Block:
         return out
 
 
-def blocks(prefixes: pa.Array) -> Iterator[Block]:
-    """The rows of an Arrow array of texts (no nulls) in blocks of one length."""
+def _by_length(prefixes: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places and bytes of the rows of each length of an Arrow array of texts (no nulls)."""
     a = prefixes.cast(pa.large_binary())
     if not len(a):
         return
@@ -116,6 +117,36 @@ def blocks(prefixes: pa.Array) -> Iterator[Block]:
     lengths = np.diff(offsets)
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
+        yield rows, data[offsets[rows][:, None] + np.arange(n)] if n else np.empty((len(rows), 0), np.uint8)
+
+
+def blocks(prefixes: pa.Array) -> Iterator[Block]:
+    """The rows of an Arrow array of texts (no nulls) in blocks of one length."""
+    for rows, data in _by_length(prefixes):
         for at in range(0, len(rows), ROWS):
-            r = rows[at : at + ROWS]
-            yield Block(r, data[offsets[r][:, None] + np.arange(n)] if n else np.empty((len(r), 0), np.uint8))
+            yield Block(rows[at : at + ROWS], data[at : at + ROWS])
+
+
+def filled(parts: Iterable[tuple[pa.Array, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes and values of rows of one length, ROWS of them (of long texts fewer), from texts and values that come in parts.
+
+    Rows of a length wait until they fill a block, so a task makes one unfilled block
+    for each length and not one for each length and part.
+    """
+    waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for prefixes, values in parts:
+        for rows, data in _by_length(prefixes):
+            full = min(ROWS, max(1, _BYTES // (data.shape[1] + 1)))
+            held = waiting.setdefault(data.shape[1], [])
+            held.append((data, values[rows]))
+            if sum(len(d) for d, _ in held) < full:
+                continue
+            all_data, all_values = (np.concatenate(x) for x in zip(*held))
+            end = len(all_data) // full * full
+            for at in range(0, end, full):
+                yield all_data[at : at + full], all_values[at : at + full]
+            waiting[data.shape[1]] = [(all_data[end:], all_values[end:])] if end < len(all_data) else []
+    for held in waiting.values():
+        if held:
+            data, values = (np.concatenate(x) for x in zip(*held))
+            yield data, values

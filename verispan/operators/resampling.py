@@ -3,12 +3,13 @@
 A replicate's weight of a cluster is a Poisson(1) draw from a hash of (cluster,
 replicate), so a cluster's rows are drawn together, nothing is shuffled to draw,
 and any engine with md5 repeats the draws. Rows are summed per cluster first. The
-hashes of all replicates are made in numpy, a block of rows at a time, and never stored.
+hashes of all replicates are made a block of rows at a time, in Java or numpy, and
+never stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verispan.functions.scalar import poisson_bounds, uniform
-from verispan.kernels import digests
+from verispan.kernels import digests, jvm
 from verispan.operators.ordered import running
 from verispan.session import cut
 
@@ -50,24 +51,50 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def replicates(clusters: DataFrame, cluster: str, reps: int, sums: dict[str, Column], seed: str) -> DataFrame:
     """rep and the weighted sums per replicate; clusters has one row per cluster. A task gives one row per replicate."""
     d = clusters.select(_prefix(F.col(cluster)).alias("_prefix"), *(e.cast("double").alias(n) for n, e in sums.items()))
-    bounds, suffixes, names = digests.Bounds(poisson_bounds()), [f"{r}|{seed}".encode() for r in range(reps)], list(sums)
+    bounds, names = digests.Bounds(poisson_bounds()), list(sums)
+    # blocks of rows of one length, their sums in Java (in numpy without it), the sums of a task put together
+    blocks = _spread(d, F.col("_prefix")).mapInArrow(_packed(names), "texts binary, vals binary, there binary")
+    java = jvm.function(clusters.sparkSession, "WeightedSums", T.BinaryType())
+    if java:
+        of = np.array(bounds.of, "<f8").tobytes()
+        blocks = blocks.select(F.call_function(java, "texts", "vals", F.lit(seed), F.lit(reps), F.lit(of)).alias("sums"), "there")
+    schema = T.StructType([T.StructField("rep", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, there = np.zeros((reps, len(names))), np.zeros(len(names), bool)
-        any_row = False
-        for b in _gathered(batches):
-            any_row = True
-            values = np.column_stack([pc.fill_null(b.column(n), 0.0).to_numpy(zero_copy_only=False) for n in names])
-            there |= [b.column(n).null_count < b.num_rows for n in names]
-            for block in digests.blocks(b.column("_prefix")):
-                v = np.ascontiguousarray(values[block.rows].T)
-                for r, s in enumerate(suffixes):
-                    total[r] += v @ block.counts(s, bounds)
+        total, there, any_row = np.zeros((reps, len(names))), np.zeros(len(names), bool), False
+        for b in batches:
+            for row in b.to_pylist():
+                any_row = True
+                there |= np.frombuffer(row["there"], bool)
+                total += np.frombuffer(row["sums"], "<f8").reshape(total.shape) if java else _weighted(row["texts"], row["vals"], seed, reps, bounds)
         if any_row:
             yield pa.RecordBatch.from_arrays([pa.array(range(reps), pa.int32()), *(pa.array(total[:, i] if there[i] else [None] * reps, pa.float64()) for i in range(len(names)))], ["rep", *names])
 
-    schema = T.StructType([T.StructField("rep", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in names)])
-    return _spread(d, F.col("_prefix")).mapInArrow(part, schema).groupBy("rep").agg(*(F.sum(n).alias(n) for n in names))
+    return blocks.mapInArrow(part, schema).groupBy("rep").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _packed(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows to blocks: the texts' bytes; number of rows and of columns, then the columns with 0 for null; which columns have a value."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[pa.Array, np.ndarray]]:
+            for b in batches:
+                columns = [b.column(n) for n in names]
+                yield b.column("_prefix"), np.column_stack([*(pc.fill_null(c, 0.0).to_numpy(zero_copy_only=False) for c in columns), *(c.is_valid().to_numpy(zero_copy_only=False) for c in columns)])
+
+        for texts, values in digests.filled(parts()):
+            vals = np.concatenate([[len(texts), len(names)], values[:, : len(names)].T.ravel()]).astype("<f8")
+            yield pa.RecordBatch.from_pydict({"texts": pa.array([texts.tobytes()], pa.binary()), "vals": pa.array([vals.tobytes()], pa.binary()), "there": pa.array([values[:, len(names) :].any(axis=0).tobytes()], pa.binary())})
+
+    return part
+
+
+def _weighted(texts: bytes, vals: bytes, seed: str, reps: int, bounds: digests.Bounds) -> np.ndarray:
+    """The sums of one block per replicate."""
+    flat = np.frombuffer(vals, "<f8")
+    n, columns = int(flat[0]), int(flat[1])
+    block, v = digests.Block(np.arange(n), np.frombuffer(texts, np.uint8).reshape(n, len(texts) // n)), flat[2:].reshape(columns, n)
+    return np.array([v @ block.counts(f"{r}|{seed}".encode(), bounds) for r in range(reps)])
 
 
 def interval(reps: DataFrame, value: str, level: float = 0.95, least: int = 10) -> DataFrame:
